@@ -74,8 +74,10 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, self.sentences(text)[1]).sum()))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5, seed: int = 7) -> Model:
-    """Adaptive gradient steps on the noisy-or likelihood of document labels."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, l2: float = 1e-3, min_bags: int = 5, seed: int = 7) -> Model:
+    """Adaptive gradient steps on the noisy-or likelihood of document labels; buckets of fewer than `min_bags` bags get no weight."""
+    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(at) for at, _ in bags)]), minlength=SIZE)
+    bags = [(at[often], of[often]) for at, of in bags for often in [seen[at] >= min_bags]]
     w, squares, bias, bias_sq = np.zeros(SIZE), np.full(SIZE, 1e-2), -5.0, 1e-2
     dice = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -104,7 +106,7 @@ def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["key", "label", "at", "of"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, **how) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, **how) -> Model:
     """Learns from documents (doc_id, text) and labels (doc_id, toxic); rows with a null in any of these are left out.
 
     sample_rows bounds the rows of each label that reach the driver; of more, those with the smallest hash
