@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .shared import BLANK_CHARS, shared_path, table
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STATE = "spark.sql.streaming.stateStore."
+#: State on disk; without preallocated files, of which each of many small stores would hold megabytes.
+_CONF = {_STATE + "providerClass": _ROCKS, _STATE + "rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -62,14 +64,16 @@ class StreamingDeduper:
         new = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.root}/store")
         keeper = F.struct(_rank(F.col("n_points"), F.col("doc_id"), F.col("rid")).alias("rank"), F.col("doc_id"), F.col("rid"), F.col("_metadata.file_path").alias("file"))
         state = new.groupBy("digest").agg(F.count("*").alias("n"), F.max(keeper).alias("keeper"))
-        before = self.spark.conf.get(_PROVIDER, None)
-        self.spark.conf.set(_PROVIDER, _ROCKS)
+        before = {k: self.spark.conf.get(k, None) for k in _CONF}
+        for k, v in _CONF.items():
+            self.spark.conf.set(k, v)
         try:
             out = f"{self.root}/state"
             save = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")  # noqa: E731  a replayed batch overwrites itself
             state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         finally:
-            self.spark.conf.unset(_PROVIDER) if before is None else self.spark.conf.set(_PROVIDER, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def store(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/store")
