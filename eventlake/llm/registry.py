@@ -1,10 +1,11 @@
 """The subpackage's queries and their DuckDB SQL, by name."""
 
-from . import exact_dedup, language_id, substring_dedup, toxicity, url_filter
+from . import exact_dedup, language_id, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
