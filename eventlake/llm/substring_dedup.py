@@ -3,7 +3,7 @@
 First pass: each partition counts anchors in a sketch, and the sketches are merged. The anchor of a window
 is the one of its 8-word grams with the least hash; equal windows have equal anchors, so the estimate of
 an anchor is at least the count of each of its windows. Second pass: only windows whose estimate is two or
-more are grouped, exactly, by 128 bits of hash. The sketch can overestimate, which costs time, and never
+more are grouped, exactly, by 96 bits of hash. The sketch can overestimate, which costs time, and never
 underestimates, so no repeated window is lost.
 """
 
@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .hashing import WordHasher, anchors, raw_text
+from .hashing import U, WordHasher, anchors, raw_text
 from .shared import NO_ID, table, text_slices
 from .sketch import build
 
 _GRAM = 8
 #: Windows that a task holds at a time before it groups them and passes them on.
-_HELD = 1_000_000
-_ROWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("run", pa.int32())])
+_HELD = 500_000
+_ROWS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("spot", pa.int64()), ("run", pa.int32())])
 
 
 def _windows(batch: pa.RecordBatch, hasher: WordHasher, size: int):
@@ -46,26 +46,26 @@ def _candidates(size: int, sent):
     """Of each task's windows that may repeat: the first of each (run 0), and as runs of starts those that come after it."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h1, h2, doc, mark, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        ids = np.stack([doc, mark], axis=1)
-        known, rank = np.unique(ids, axis=0, return_inverse=True) if len(held) else (ids, ids)
-        spot = (rank.reshape(-1).astype(np.int64) << 32) | start
-        order = np.lexsort((spot, h2, h1))
-        h1, h2, spot = h1[order], h2[order], spot[order]
+        h1, h2, doc, spot = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((spot, doc, h2, h1))
+        h1, h2, doc, spot = h1[order], h2[order], doc[order], spot[order]
         new = np.ones(len(h1), dtype=bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        later = np.unique(spot[spot > spot[np.flatnonzero(new)][np.cumsum(new) - 1]])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        after = (doc != doc[first]) | (spot != spot[first])
+        order = np.lexsort((spot[after], doc[after]))
+        later_doc, later = doc[after][order], spot[after][order]
+        once = np.ones(len(later), dtype=bool)
+        once[1:] = (later[1:] != later[:-1]) | (later_doc[1:] != later_doc[:-1])
+        later_doc, later = later_doc[once], later[once]
         head = np.ones(len(later), dtype=bool)
-        head[1:] = later[1:] != later[:-1] + 1
+        head[1:] = (later[1:] != later[:-1] + 1) | (later_doc[1:] != later_doc[:-1])
         heads = np.flatnonzero(head)
-        run = np.diff(np.append(heads, len(later)))
-        out = np.concatenate([spot[new], later[heads]])
-        who, at = known[out >> 32], (out & 0xFFFFFFFF).astype(np.int32)
-        own = np.concatenate([h1[new], out[len(out) - len(heads) :] * np.int64(-7046029254386353131)])  # runs are dealt out anyhow
-        yield pa.RecordBatch.from_arrays([
-            pa.array(own), pa.array(np.concatenate([h2[new], np.zeros(len(heads), np.int64)])), pa.array(np.ascontiguousarray(who[:, 0])), pa.array(np.ascontiguousarray(who[:, 1])),
-            pa.array(at), pa.array(np.concatenate([np.zeros(int(new.sum()), np.int32), run.astype(np.int32)])),
-        ], schema=_ROWS)
+        run = np.diff(np.append(heads, len(later))).astype(np.int32)
+        anyhow = (later[heads] + later_doc[heads]) * np.int64(-7046029254386353131)  # runs are dealt out evenly
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (
+            (h1[new], anyhow), (h2[new], np.zeros(len(heads), np.int32)), (doc[new], later_doc[heads]), (spot[new], later[heads]), (np.zeros(int(new.sum()), np.int32), run),
+        )], schema=_ROWS)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sketch, held, n = WordHasher(), sent.value, [], 0
@@ -77,8 +77,9 @@ def _candidates(size: int, sent):
                 if not len(starts):
                     continue
                 first = np.searchsorted(text, text[starts])  # each text's first word
-                lanes = [hasher.lane(words, i).of(starts, starts + size).view(np.int64) for i in (0, 1)]
-                held.append((*lanes, doc_ids[begin + text[starts]], marks[begin + text[starts]], starts - first))
+                h1, h2 = (hasher.lane(words, i).of(starts, starts + size) for i in (0, 1))
+                row = begin + text[starts]
+                held.append((h1.view(np.int64), (h2 >> U(32)).astype(np.uint32).view(np.int32), doc_ids[row], (marks[row] << 32) | (starts - first)))
                 n += len(starts)
                 if n >= _HELD:
                     yield from flush(held)
@@ -90,7 +91,10 @@ def _candidates(size: int, sent):
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, size: int = 20, sketch_bits: int = 26) -> DataFrame:
-    """(doc_id, mark, start, run): `run` windows from word `start` on that also start earlier. docs: doc_id, mark, text, none null but text."""
+    """(doc_id, spot, run): `run` windows that also start earlier, from the word on that the low 32 bits of spot number; its high bits are mark.
+
+    docs: doc_id, mark (long, of 31 bits), text; none null but text.
+    """
     gram = min(_GRAM, size)
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -104,9 +108,9 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, size: int = 20, sketc
     assert gram > 0
     sketch = build(docs.select("text"), keys, sketch_bits, 4 * spark.sparkContext.defaultParallelism)
     sent = spark.sparkContext.broadcast(sketch)  # 2^sketch_bits / 2 bytes at any size of the input
-    found = docs.mapInArrow(_candidates(size, sent), "h1 long, h2 long, doc_id long, mark long, start int, run int")
-    rank = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "mark", "start"))
-    return found.withColumn("rank", rank).where("run > 0 or rank > 1").select("doc_id", "mark", "start", F.greatest("run", F.lit(1)).alias("run"))
+    found = docs.mapInArrow(_candidates(size, sent), "h1 long, h2 int, doc_id long, spot long, run int")
+    rank = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "spot"))
+    return found.withColumn("rank", rank).where("run > 0 or rank > 1").select("doc_id", "spot", F.greatest("run", F.lit(1)).alias("run"))
 
 
 def _cut(size: int):
@@ -140,10 +144,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, size: int = 20, sketch_
     repeated rows (same doc_id and text) count as one document and get the same answer. Texts are read
     whole. An empty table gives an empty result; other columns don't matter.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("mark"), "text")
     found = repeated_windows(spark, rows, size, sketch_bits)
-    packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("run").cast("long"))
-    runs = found.groupBy("doc_id", "mark").agg(F.collect_list(packed).alias("runs"))
+    packed = F.shiftleft("spot", 32).bitwiseOR(F.col("run").cast("long"))
+    runs = found.groupBy("doc_id", F.shiftright("spot", 32).alias("mark")).agg(F.collect_list(packed).alias("runs"))
     both = rows.join(runs, ["doc_id", "mark"], "left").select("doc_id", "text", "runs")
     return both.mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept binary").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
