@@ -1,6 +1,6 @@
 """The subpackage's queries and their DuckDB SQL, by name."""
 
-from . import exact_dedup, language_id, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import exact_dedup, jaccard_join, language_id, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .hashing import U, WordHasher, anchors, raw_text
 from .shared import NO_ID, table, text_slices
-from .sketch import build
+from .sketch import Sketch, build
 
 _GRAM = 8
 #: Windows that a task holds at a time before it groups them and passes them on.
@@ -106,7 +106,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, size: int = 20, sketc
                 yield key[once]
 
     assert gram > 0
-    sketch = build(docs.select("text"), keys, sketch_bits, 4 * spark.sparkContext.defaultParallelism)
+    sketch = build(docs.select("text"), keys, lambda: Sketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism)
     sent = spark.sparkContext.broadcast(sketch)  # 2^sketch_bits / 2 bytes at any size of the input
     found = docs.mapInArrow(_candidates(size, sent), "h1 long, h2 int, doc_id long, spot long, run int")
     rank = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "spot"))

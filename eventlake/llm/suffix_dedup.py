@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .hashing import Powers, Sums, U, anchors, mix, raw_text
 from .shared import NO_ID, table, text_slices, written
-from .sketch import build
+from .sketch import Sketch, build
 from .suffix_groups import suffix_array
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -215,7 +215,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, size: int = 400, core: i
             for _, _, _, starts, place, key, _ in reader.slices(batch):
                 yield key[_heads(place, starts)]
 
-    sketch = build(docs.select("text"), keys, sketch_bits, 4 * spark.sparkContext.defaultParallelism)
+    sketch = build(docs.select("text"), keys, lambda: Sketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism)
     sent = spark.sparkContext.broadcast(sketch)  # 2^sketch_bits / 2 bytes at any size of the input
     kind = "h long, u long, doc_id long, mark long, start long, run int, n int, left int, body binary"
     units = written(spark, docs.mapInArrow(_units(size, core, sent), kind), "units")

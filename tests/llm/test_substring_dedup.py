@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 from corpus import awkward, documents
 
-from eventlake.llm.sketch import Sketch, merged
+from eventlake.llm.sketch import Sketch, saturating_sum
 from eventlake.llm.substring_dedup import remove_repeats
 
 
@@ -63,7 +63,7 @@ def test_sketch_counts_and_merges():
     whole.add(keys[:2000])
     whole.add(keys[1500:])
     for r in range(2):
-        assert (merged(a.rows[r].view(np.uint64), b.rows[r].view(np.uint64)) == whole.rows[r].view(np.uint64)).all()
+        assert (saturating_sum(a.rows[r].view(np.uint64), b.rows[r].view(np.uint64)) == whole.rows[r].view(np.uint64)).all()
     assert whole.repeated(keys[1500:2000]).all()
     alone = Sketch(20)
     alone.add(keys)
