@@ -6,10 +6,11 @@ places with the same anchor need to be compared. The windows of one anchor make
 with what stands on its left and right.
 
 1. Anchors are counted in a merged count-min sketch, which never underestimates; those seen once are dropped.
-2. Each task writes the units of the others, the local copies of a unit as one row with a count.
-3. Units seen twice as a whole are repeated. Anchors that have several different units go on: their units
-   are joined, with the core as one symbol, and their suffixes sorted by Lyndon groups (suffix_groups);
-   equal windows are then neighbours.
+2. Each task writes the units of the others by hash, the local copies of a unit as one row with a count. Units
+   seen twice as a whole are repeated.
+3. Anchors that have several different units go into a second sketch, by which a third pass picks their bytes.
+   The units of an anchor are joined, with the core as one symbol, and their suffixes sorted by Lyndon
+   groups (suffix_groups); equal windows are then neighbours.
 4. An anchor with more than `most_units` different units (a line that many documents share) isn't brought
    together in one task: its windows are grouped exactly by 128 bits of hash, local copies first.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import Powers, Sums, U, anchors, mix, raw_text
@@ -31,9 +32,10 @@ from .suffix_groups import suffix_array
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 #: Units, and windows, that a task holds at a time before it brings copies together.
 _HELD_UNITS, _HELD_WINDOWS = 200_000, 1_000_000
-_UNIT = pa.schema([("h", pa.int64()), ("u", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("run", pa.int32()), ("n", pa.int32()), ("left", pa.int32()), ("body", pa.binary())])
-_RUN = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("run", pa.int32())])
-_RUN_SQL = "doc_id long, mark long, start long, run int"
+_RUN = pa.schema([("doc_id", pa.int64()), ("spot", pa.int64()), ("run", pa.int32())])
+_RUN_SQL = "doc_id long, spot long, run int"
+_UNIT = pa.schema([("h", pa.int64()), ("u", pa.int64()), *_RUN, ("n", pa.int32())])
+_UNIT_SQL = f"h long, u long, {_RUN_SQL}, n int"
 
 
 class _Reader:
@@ -67,40 +69,49 @@ def _heads(place: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _units(size: int, core: int, sent):
+def _units(size: int, core: int, sent, by_anchor: bool):
+    """The units whose anchor the sketch shows to be repeated: by its 32 bits, or else by its h, and then with their bytes.
+
+    Of the copies of a unit that a task holds the first has their number as n, the others 0; only the first goes on with its bytes.
+    """
+
     def flush(held: list[tuple], bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        h, u, doc, mark, start, run, left = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, u, doc, spot, run, left = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((u, h))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (u[order][1:] != u[order][:-1])
         at = np.flatnonzero(new)
         n = np.zeros(len(order), dtype=np.int32)
-        n[order[at]] = np.diff(np.append(at, len(order)))  # copies: the first has their number, the others 0
-        some = [b if k else None for b, k in zip(bodies, n, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, u, doc, mark, start, run, n, left)] + [pa.array(some, pa.binary())], schema=_UNIT)
+        n[order[at]] = np.diff(np.append(at, len(order)))
+        rows = [pa.array(x) for x in (h, u, doc, spot, run, n)]
+        if by_anchor:
+            yield pa.RecordBatch.from_arrays(rows, schema=_UNIT)
+        else:
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(left), pa.array(bodies, pa.binary())], schema=pa.schema([*_UNIT, ("left", pa.int32()), ("body", pa.binary())])).filter(pa.array(n > 0))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, sketch, held, bodies = _Reader(size, core), sent.value, [], []
+        reader, sketch, held, bodies, count = _Reader(size, core), sent.value, [], [], 0
         for batch in it:
             docs, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
             for begin, data, at, starts, place, key, sums in reader.slices(batch):
                 heads = _heads(place, starts)
-                last = starts[np.append(heads[1:], len(starts)) - 1]
-                often = sketch.repeated(key[heads])
-                s, e, a = starts[heads][often], last[often], place[heads][often]
+                a = place[heads]
+                h = mix(Sums(data.astype(U) + U(1), reader.powers[1]).of(a, a + core))
+                often = sketch.repeated(key[heads] if by_anchor else h)
+                s, e, a, h = starts[heads][often], starts[np.append(heads[1:], len(starts)) - 1][often], a[often], h[often]
                 if not len(s):
                     continue
-                other = Sums(data.astype(U) + U(1), reader.powers[1])
-                h = mix(other.of(a, a + core))
                 u = mix(sums.of(s, e + size) + mix(((a - s).astype(U) << U(32)) | (e - s).astype(U)))
                 row = np.searchsorted(at, s, side="right") - 1
-                held.append((h.view(np.int64), u.view(np.int64), docs[begin + row], marks[begin + row], s - at[row], (e - s + 1).astype(np.int32), (a - s).astype(np.int32)))
-                raw = data.tobytes()
-                bodies += [raw[i:j] + raw[j + core : k + size] for i, j, k in zip(s.tolist(), a.tolist(), e.tolist(), strict=True)]
-                if len(bodies) >= _HELD_UNITS:
+                held.append((h.view(np.int64), u.view(np.int64), docs[begin + row], (marks[begin + row] << 32) | (s - at[row]), (e - s + 1).astype(np.int32), (a - s).astype(np.int32)))
+                if not by_anchor:
+                    raw = data.tobytes()
+                    bodies += [raw[i:j] + raw[j + core : k + size] for i, j, k in zip(s.tolist(), a.tolist(), e.tolist(), strict=True)]
+                count += len(s)
+                if count >= _HELD_UNITS:
                     yield from flush(held, bodies)
-                    held, bodies = [], []
-        if bodies:
+                    held, bodies, count = [], [], 0
+        if held:
             yield from flush(held, bodies)
 
     return batches
@@ -138,31 +149,31 @@ def repeated_starts(units: list[tuple[bytes, int, int]], span: int) -> list[list
     return out
 
 
-def _runs(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+def _runs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RUN, strict=True)], schema=_RUN)
 
 
 def _sorted_buckets(span: int):
     """Rows come sorted by h and u, all of an anchor in one task."""
 
-    def solve(bucket: dict[int, list]) -> list[tuple[int, int, int, int]]:
+    def solve(bucket: dict[int, list]) -> list[tuple[int, int, int]]:
         if len(bucket) < 2:
             return []
-        found = repeated_starts([(body, left, run) for _, body, left, run, _, _, _ in bucket.values()], span)
-        return [(doc, mark, start + k, 1) for (n, _, _, _, doc, mark, start), hits in zip(bucket.values(), found, strict=True) if n == 1 for k in hits]
+        found = repeated_starts([(body, left, run) for _, body, left, run, _, _ in bucket.values()], span)
+        return [(doc, spot + k, 1) for (n, _, _, _, doc, spot), hits in zip(bucket.values(), found, strict=True) if n == 1 for k in hits]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, bucket, out = None, {}, []
         for batch in it:
-            for h, u, doc, mark, start, run, n, left, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, u, doc, spot, run, n, left, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h != of:
                     out += solve(bucket)
                     of, bucket = h, {}
                 if u in bucket:
                     bucket[u][0] += n
                 else:
-                    bucket[u] = [n, body, left, run, doc, mark, start]
+                    bucket[u] = [n, body, left, run, doc, spot]
                 if len(out) > 50_000:
                     yield _runs(out)
                     out = []
@@ -176,24 +187,24 @@ def _window_rows(span: int):
     kind = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), *_RUN, ("n", pa.int32())])
 
     def flush(held) -> Iterator[pa.RecordBatch]:
-        w1, w2, doc, mark, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        w1, w2, doc, spot, n = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((w2, w1))
-        w1, w2, doc, mark, start, n = (x[order] for x in (w1, w2, doc, mark, start, n))
+        w1, w2, doc, spot, n = (x[order] for x in (w1, w2, doc, spot, n))
         new = np.ones(len(w1), dtype=bool)
         new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
         total = np.add.reduceat(n, np.flatnonzero(new))
         n = np.zeros(len(w1), dtype=np.int32)
         n[new] = np.minimum(total, 2**30)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, doc, mark, start, np.ones(len(w1), np.int32), n)], schema=kind)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, doc, spot, np.ones(len(w1), np.int32), n)], schema=kind)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, count = [Powers(b) for b in _BASES[1:]], [], 0
         for batch in it:
-            for h, doc, mark, start, run, n, left, body in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "mark", "start", "run", "n", "left", "body")), strict=True):
+            for h, doc, spot, run, n, left, body in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "spot", "run", "n", "left", "body")), strict=True):
                 code = np.frombuffer(body, dtype=np.uint8).astype(U) + U(1)
                 place = mix(np.arange(left, left - run, -1).astype(np.int64).astype(U))  # of the core within the window
                 lanes = [mix(Sums(code, p).all_of(span)[:run] + place + U(h & (2**64 - 1))).view(np.int64) for p in powers]
-                held.append((*lanes, np.full(run, doc), np.full(run, mark), start + np.arange(run), np.full(run, n, dtype=np.int64)))
+                held.append((*lanes, np.full(run, doc), spot + np.arange(run), np.full(run, n, dtype=np.int64)))
                 count += run
                 if count >= _HELD_WINDOWS:
                     yield from flush(held)
@@ -205,8 +216,11 @@ def _window_rows(span: int):
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, size: int = 400, core: int | None = None, most_units: int = 64, sketch_bits: int = 26) -> DataFrame:
-    """(doc_id, mark, start, run): `run` windows of `size` bytes from byte `start` on that also start elsewhere."""
-    core = core or size * 21 // 25
+    """(doc_id, spot, run): `run` windows of `size` bytes that also start elsewhere, from the byte on that the low 32 bits of spot number; its high bits are mark.
+
+    docs: doc_id, mark (long, of 31 bits), text; none null but text.
+    """
+    core = core or size * 16 // 25
     span = size - core
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -215,23 +229,25 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, size: int = 400, core: i
             for _, _, _, starts, place, key, _ in reader.slices(batch):
                 yield key[_heads(place, starts)]
 
-    sketch = build(docs.select("text"), keys, lambda: Sketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism)
-    sent = spark.sparkContext.broadcast(sketch)  # 2^sketch_bits / 2 bytes at any size of the input
-    kind = "h long, u long, doc_id long, mark long, start long, run int, n int, left int, body binary"
-    units = written(spark, docs.mapInArrow(_units(size, core, sent), kind), "units")
+    def twice(it: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in it:
+            yield np.repeat(batch.column("h").to_numpy().view(U), 2)
+
+    tasks, empty = 4 * spark.sparkContext.defaultParallelism, lambda: Sketch(sketch_bits)
+    seen = spark.sparkContext.broadcast(build(docs.select("text"), keys, empty, tasks))  # 2^sketch_bits / 2 bytes at any size of the input
+    units = written(spark, docs.mapInArrow(_units(size, core, seen, True), _UNIT_SQL), "units")
     own = units.where("n > 0")
-    totals = own.groupBy("h", "u").agg(F.sum("n").alias("total"))
-    several = totals.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    whole = own.select("h", "u", *_RUN.names).join(totals.where("total > 1"), ["h", "u"], "left_semi").select(*_RUN.names)
+    several = written(spark, own.select("h", "u").distinct().groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "several")
+    whole = own.withColumn("total", F.sum("n").over(Window.partitionBy("h", "u"))).where("total > 1").select(*_RUN.names)
     copies = units.where("n = 0").select(*_RUN.names)
-    shared = own.join(several, "h")
-    columns = ["h", "u", "doc_id", "mark", "start", "run", "n", "left", "body"]
-    few = shared.where(F.col("m") <= most_units).select(*columns).repartition("h").sortWithinPartitions("h", "u").mapInArrow(_sorted_buckets(span), _RUN_SQL)
-    many = shared.where(F.col("m") > most_units).select(*columns).mapInArrow(_window_rows(span), f"w1 long, w2 long, {_RUN_SQL}, n int")
-    many = written(spark, many, "windows")
-    again = many.where("n > 0").groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
-    first = many.where("n > 0").join(again, ["w1", "w2"], "left_semi").select(*_RUN.names)
-    return whole.unionByName(copies).unionByName(few).unionByName(first).unionByName(many.where("n = 0").select(*_RUN.names))
+    open_ = spark.sparkContext.broadcast(build(several.select("h"), twice, empty, tasks))
+    shared = docs.mapInArrow(_units(size, core, open_, False), f"{_UNIT_SQL}, left int, body binary").join(several, "h")
+    shared = written(spark, shared.select("m", *_UNIT.names, "left", "body"), "shared")
+    few = shared.where(F.col("m") <= most_units).drop("m").repartition("h").sortWithinPartitions("h", "u").mapInArrow(_sorted_buckets(span), _RUN_SQL)
+    many = shared.where(F.col("m") > most_units).drop("m").mapInArrow(_window_rows(span), f"w1 long, w2 long, {_RUN_SQL}, n int")
+    many = many.withColumn("total", F.sum("n").over(Window.partitionBy("w1", "w2")))  # a task has one row of n > 0 for each window
+    again = many.where("n = 0 or total > 1").select(*_RUN.names)
+    return whole.unionByName(copies).unionByName(few).unionByName(again)
 
 
 def _cut(size: int):
@@ -266,9 +282,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, size: int = 400, **how)
     an empty result; other columns don't matter.
     """
     # rows that share an id and a text get the same cuts: the runs of either hold for both
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("mark"), "text")
     found = repeated_runs(spark, rows, size, **how)
-    runs = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "run")).alias("r")).select("doc_id", "mark", F.col("r.start").alias("starts"), F.col("r.run").alias("runs"))
+    packed = F.struct((F.col("spot").bitwiseAND(F.lit(2**32 - 1))).alias("start"), "run")
+    runs = found.groupBy("doc_id", F.shiftright("spot", 32).alias("mark")).agg(F.collect_list(packed).alias("r")).select("doc_id", "mark", F.col("r.start").alias("starts"), F.col("r.run").alias("runs"))
     both = rows.join(runs, ["doc_id", "mark"], "left").select("doc_id", "text", "starts", "runs")
     return both.mapInArrow(_cut(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
