@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, table
+from .shared import held_out, send, table
 
 BITS = 16
 SIZE = 1 << BITS
@@ -177,11 +177,12 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     Null, empty and letterless texts give und and 0. Equal texts get equal answers; of a tie the language
     first in the alphabet. Other columns of `docs` take no part.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent()
         for batch in it:
-            got = [sent.value.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            got = [own.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=names)
 

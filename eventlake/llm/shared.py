@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,13 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def send(spark: SparkSession, value) -> Callable[[], object]:
+    """Broadcasts `value`, of a size that the caller has bounded, and its class with it; the result loads it on an executor."""
+    raw = cloudpickle.dumps(value)
+    size, held = len(raw), spark.sparkContext.broadcast(pa.compress(raw, "zstd", asbytes=True))
+    return lambda: cloudpickle.loads(pa.decompress(held.value, size, "zstd"))
+
+
 def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

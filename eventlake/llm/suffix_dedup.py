@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import Powers, Sums, U, anchors, mix, raw_text
-from .shared import NO_ID, table, text_slices, written
+from .shared import NO_ID, send, table, text_slices, written
 from .sketch import Sketch, build
 from .suffix_groups import suffix_array
 
@@ -90,7 +90,7 @@ def _units(size: int, core: int, sent, by_anchor: bool):
             yield pa.RecordBatch.from_arrays([*rows, pa.array(left), pa.array(bodies, pa.binary())], schema=pa.schema([*_UNIT, ("left", pa.int32()), ("body", pa.binary())])).filter(pa.array(n > 0))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, sketch, held, bodies, count = _Reader(size, core), sent.value, [], [], 0
+        reader, sketch, held, bodies, count = _Reader(size, core), sent(), [], [], 0
         for batch in it:
             docs, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
             for begin, data, at, starts, place, key, sums in reader.slices(batch):
@@ -215,7 +215,7 @@ def _window_rows(span: int):
     return batches
 
 
-def repeated_runs(spark: SparkSession, docs: DataFrame, size: int = 400, core: int | None = None, most_units: int = 64, sketch_bits: int = 26) -> DataFrame:
+def repeated_runs(spark: SparkSession, docs: DataFrame, size: int = 400, core: int | None = None, most_units: int = 2000, sketch_bits: int = 26) -> DataFrame:
     """(doc_id, spot, run): `run` windows of `size` bytes that also start elsewhere, from the byte on that the low 32 bits of spot number; its high bits are mark.
 
     docs: doc_id, mark (long, of 31 bits), text; none null but text.
@@ -234,16 +234,17 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, size: int = 400, core: i
             yield np.repeat(batch.column("h").to_numpy().view(U), 2)
 
     tasks, empty = 4 * spark.sparkContext.defaultParallelism, lambda: Sketch(sketch_bits)
-    seen = spark.sparkContext.broadcast(build(docs.select("text"), keys, empty, tasks))  # 2^sketch_bits / 2 bytes at any size of the input
+    seen = send(spark, build(docs.select("text"), keys, empty, tasks))  # 2^sketch_bits / 2 bytes at any size of the input
     units = written(spark, docs.mapInArrow(_units(size, core, seen, True), _UNIT_SQL), "units")
     own = units.where("n > 0")
     several = written(spark, own.select("h", "u").distinct().groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "several")
     whole = own.withColumn("total", F.sum("n").over(Window.partitionBy("h", "u"))).where("total > 1").select(*_RUN.names)
     copies = units.where("n = 0").select(*_RUN.names)
-    open_ = spark.sparkContext.broadcast(build(several.select("h"), twice, empty, tasks))
+    open_ = send(spark, build(several.select("h"), twice, lambda: Sketch(max(10, sketch_bits - 2)), tasks))
     shared = docs.mapInArrow(_units(size, core, open_, False), f"{_UNIT_SQL}, left int, body binary").join(several, "h")
     shared = written(spark, shared.select("m", *_UNIT.names, "left", "body"), "shared")
-    few = shared.where(F.col("m") <= most_units).drop("m").repartition("h").sortWithinPartitions("h", "u").mapInArrow(_sorted_buckets(span), _RUN_SQL)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as a number: by size alone too few tasks would sort
+    few = shared.where(F.col("m") <= most_units).drop("m").repartition(n_parts, "h").sortWithinPartitions("h", "u").mapInArrow(_sorted_buckets(span), _RUN_SQL)
     many = shared.where(F.col("m") > most_units).drop("m").mapInArrow(_window_rows(span), f"w1 long, w2 long, {_RUN_SQL}, n int")
     many = many.withColumn("total", F.sum("n").over(Window.partitionBy("w1", "w2")))  # a task has one row of n > 0 for each window
     again = many.where("n = 0 or total > 1").select(*_RUN.names)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, table
+from .shared import held_out, send, table
 
 BITS = 18
 SIZE = 1 << BITS
@@ -128,11 +128,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, **how) ->
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted for every whole text; null, empty and wordless texts score 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent()
         for batch in it:
-            got = np.array([sent.value.score(t.as_py()) for t in batch.column("text")], dtype=np.float64)
+            got = np.array([own.score(t.as_py()) for t in batch.column("text")], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, score double, predicted int")
@@ -140,13 +141,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, sentence (0-based count of sentence ends before it), score, for sentences that reach the threshold."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent()
         for batch in it:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                numbers, z = sent.value.sentences(text)
+                numbers, z = own.sentences(text)
                 p = 1 / (1 + np.exp(-z))
                 rows += [(doc_id, int(n), float(x)) for n, x in zip(numbers, p, strict=True) if x >= threshold]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "sentence": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
