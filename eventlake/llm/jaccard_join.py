@@ -5,10 +5,10 @@
 2. Documents with equal sets become one class.
 3. A class is posted under its prefix: its rarest shingles, as many as must hold one that it shares with any
    partner. Postings carry the set's size and the shingle's position for the length and positional filters.
-4. A first join pairs each posting with the least class of its shingle: as many pairs as postings at most,
-   which gathers a large group of near copies around a few of its members. Later joins take all pairs of a
-   shingle that are not known to be connected yet, so no link between components is lost, and a group of
-   copies never yields all its pairs.
+4. While the pairs of postings with a common shingle are far more than the postings, a star join pairs each
+   posting with one of its shingle only: at most as many pairs as postings, which gathers a large group of
+   near copies around a few of its members. Then all pairs that aren't known to be connected are taken, so
+   no link between components is lost, and a group of copies doesn't yield all its pairs.
 5. Pairs are made distinct, pass a suffix filter (counts of shingles by hash range bound the overlap), and are
    verified once on the full sets. Connected components give the groups.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, WordHasher, mix, raw_text
-from .shared import NO_ID, table, text_slices, written
+from .shared import NO_ID, send, table, text_slices, written
 from .sketch import RaritySketch, build
 
 #: Hash ranges of the suffix filter.
@@ -61,7 +61,7 @@ def _sets(size: int, sent):
     kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.binary()), ("alone", pa.int32()), ("tokens", pa.binary())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketch = WordHasher(), sent.value
+        hasher, sketch = WordHasher(), sent()
         for batch in it:
             ids = batch.column("doc_id")
             for begin, rows, h, row in shingle_sets(batch, hasher, size):
@@ -124,18 +124,43 @@ def _links(spark: SparkSession, pairs: DataFrame, classes: DataFrame, meta: Data
     side = lambda s: meta.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("ranges").alias(f"r{s}"))
     bound = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * bound >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
-    near = written(spark, near, "pairs")
+    near = written(spark, near, "pairs")  # small rows; the sets are joined to what is left
     text = lambda s, t: classes.select(F.col("node").alias(s), F.col("tokens").alias(t))
     return written(spark, near.join(text("a", "tx"), "a").join(text("b", "ty"), "b").select("a", "b", "tx", "ty").mapInArrow(_verified, "a binary, b binary"), "links")
 
 
+def _long_enough(a: str, b: str):
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
 def _possible(a: str, b: str):
-    """Length and positional filter for two postings of a shingle, from sizes and positions."""
+    """Length and positional filter for two postings of a shingle. The latter is exact at the first that both sets have in their prefix, where each linked pair passes."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))) >= 4 * (n + m))
+    return _long_enough(a, b) & (9 * (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))) >= 4 * (n + m))
+
+
+def _open_pairs(open_: DataFrame) -> int:
+    """How many pairs of postings have a shingle in common and aren't known to be connected."""
+    sizes = open_.groupBy("token", "component").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    return int(sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+
 
+def _star_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """Each posting with one of its shingle, of another component: at first the same for as many shingles as can be, then any."""
+    key = F.xxhash64("node", F.lit(turn), *["token"][: turn]).alias("key")
+    hubs = open_.groupBy("token").agg(F.min(F.struct(key, "node", "n", "pos", "component")).alias("hub"))
+    star = open_.alias("x").join(hubs, "token").where((F.col("x.component") != F.col("hub.component")) & (_long_enough if turn else _possible)("x", "hub"))
+    return star.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
 
-def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_bits: int = 26) -> DataFrame:
+
+def _all_pairs(open_: DataFrame) -> DataFrame:
+    x, y = open_.alias("x"), open_.alias("y")
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y"))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_bits: int = 26, rounds: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text).
 
     A-Z are lower-cased and words are `[^\\x20\\x09-\\x0D]+`. A set holds the distinct shingles of `size` words; with fewer
@@ -154,27 +179,27 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_b
             for _, _, h, _ in shingle_sets(batch, hasher, size):
                 yield h
 
-    sketch = build(rows.select("text"), keys, lambda: RaritySketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism)
-    sent = spark.sparkContext.broadcast(sketch)  # 2^sketch_bits / 2 + 2^24 bytes at any size of the input
+    sent = send(spark, build(rows.select("text"), keys, lambda: RaritySketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism))  # 2^sketch_bits / 2 + 2^24 bytes at any size of the input
     sets = written(spark, rows.mapInArrow(_sets(size, sent), "doc_id long, n int, node binary, alone int, tokens binary"), "sets")
     live = sets.where("node is not null")
     classes = written(spark, live.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens")), "classes")
     meta = classes.select("node", "n", "tokens").mapInArrow(_ranges, "node binary, n int, ranges array<int>")
     posted = written(spark, classes.select("node", "n", "alone", "tokens").mapInArrow(_postings, "token long, node binary, n int, pos int"), "postings")
 
-    hubs = posted.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("hub"), F.count("*").alias("k")).where("k > 1")
-    star = posted.alias("x").join(hubs, "token").where((F.col("x.node") != F.col("hub.node")) & _possible("x", "hub"))
-    links = _links(spark, star.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b")).distinct(), classes, meta)
-    label = components(spark, links)
-
-    known = classes.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    shared = posted.join(hubs.select("token"), "token", "left_semi").join(known, "node")
-    mixed = shared.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("token")
-    open_ = written(spark, shared.join(mixed, "token", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y"))
-    more = _links(spark, rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), classes, meta)
-    label = components(spark, links.unionByName(more))
+    several = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    open_ = written(spark, posted.join(several, "token", "left_semi").withColumn("component", F.col("node")), "shared")
+    links, n_shared = None, open_.count()
+    for turn in range(rounds):
+        if _open_pairs(open_) <= 2 * n_shared + 10_000:
+            break
+        found = _links(spark, _star_pairs(open_, turn), classes, meta)
+        links = found if links is None else links.unionByName(found)
+        label = components(spark, links)
+        named = open_.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("token")
+        open_ = written(spark, named.join(mixed, "token", "left_semi").select(*open_.columns), "open")
+    found = _links(spark, _all_pairs(open_), classes, meta)
+    label = components(spark, found if links is None else links.unionByName(found))
 
     of = classes.select("node", "first_id").join(label, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
