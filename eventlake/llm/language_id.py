@@ -192,6 +192,19 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     return source.mapInArrow(batches, f"{kinds}, lang_pred string, score double")
 
 
+def accepted_rows(docs: DataFrame, model: Model, least_score: float = 0.5, langs: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text is in one of `langs` (any learned language if None) with at least `least_score`.
+
+    Texts that get und are rejected. A model that has learned no language rejects nothing.
+    """
+    if not model.langs:
+        return docs
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text"))
+    judged = predict(plain, model, tuple(plain.columns[:-1]))
+    good = judged.where(F.col("lang_pred").isin(list(langs or model.langs)) & (F.col("score") >= least_score))
+    return good.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out(F.col("doc_id"))))

@@ -1,12 +1,15 @@
 """The subpackage's queries and their DuckDB SQL, by name."""
 
-from . import exact_dedup, jaccard_join, language_id, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import decontamination, exact_dedup, jaccard_join, language_id, packing, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_pii": pii.op3_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_language_id": language_id.op6_language_id,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
