@@ -9,8 +9,8 @@
    posting with one of its shingle only: at most as many pairs as postings, which gathers a large group of
    near copies around a few of its members. Then all pairs that aren't known to be connected are taken, so
    no link between components is lost, and a group of copies doesn't yield all its pairs.
-5. Pairs are made distinct, pass a suffix filter (counts of shingles by hash range bound the overlap), and are
-   verified once on the full sets. Connected components give the groups.
+5. Pairs are made distinct, pass a suffix filter (a bitmap of each set's hashes: bits that only one of two sets has
+   bound what they share), and are verified once on the full sets. Connected components give the groups.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, WordHasher, mix, raw_text
-from .shared import NO_ID, send, table, text_slices, written
+from .shared import NO_ID, bucketed, send, table, text_slices, written
 from .sketch import RaritySketch, build
 
-#: Hash ranges of the suffix filter.
-_RANGES = 16
+#: Longs of the suffix filter's bitmap.
+_LONGS = 8
+_BITS = [f"b{i}" for i in range(_LONGS)]
 
 
 def shingle_sets(batch: pa.RecordBatch, hasher: WordHasher, size: int):
@@ -58,7 +59,7 @@ def least_overlap(n):
 
 def _sets(size: int, sent):
     """doc_id, n, and for documents that may have a partner the set's digest, its shingles (rare first) and how many of them are unique."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.binary()), ("alone", pa.int32()), ("tokens", pa.binary())])
+    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.binary()), ("alone", pa.int32()), ("tokens", pa.binary()), *((b, pa.int64()) for b in _BITS)])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sketch = WordHasher(), sent()
@@ -77,9 +78,12 @@ def _sets(size: int, sent):
                 order = np.lexsort((h, sketch.count(h), often, row))
                 h = h[order]
                 nodes, tokens = [None] * rows, [None] * rows
+                bits = np.zeros((rows, _LONGS * 64), dtype=bool)
+                bits[row, h >> U(64 - 9)] = True
+                bits = np.packbits(bits, axis=1).view(np.int64)
                 for i, (r, b) in enumerate(zip(row[edge].tolist(), edge.tolist(), strict=True)):
                     nodes[r], tokens[r] = digest[i].tobytes(), h[b : b + n[r]].tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, rows), pa.array(n, pa.int32()), pa.array(nodes, pa.binary()), pa.array(alone, pa.int32()), pa.array(tokens, pa.binary())], schema=kind)
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, rows), pa.array(n, pa.int32()), pa.array(nodes, pa.binary()), pa.array(alone, pa.int32()), pa.array(tokens, pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(_LONGS))], schema=kind)
 
     return batches
 
@@ -103,12 +107,6 @@ def _posted(out, nodes, sizes, places) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(out), pa.int64()), "node": pa.array(nodes, pa.binary()), "n": pa.array(np.concatenate(sizes)), "pos": pa.array(np.concatenate(places))})
 
 
-def _ranges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        counts = [np.bincount(np.frombuffer(t.as_buffer(), dtype=U) >> U(60), minlength=_RANGES).astype(np.int32) for t in batch.column("tokens")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(counts, pa.list_(pa.int32()))], names=["node", "n", "ranges"])
-
-
 def _verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         keep = []
@@ -119,12 +117,16 @@ def _verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(spark: SparkSession, pairs: DataFrame, classes: DataFrame, meta: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those that reach the threshold."""
-    side = lambda s: meta.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("ranges").alias(f"r{s}"))
-    bound = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * bound >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
-    near = written(spark, near, "pairs")  # small rows; the sets are joined to what is left
+def _may_reach(na, nb, a: list, b: list):
+    """Whether two sets can reach the threshold, by sizes and bitmaps: each bit that only one of them has is a shingle at least that it doesn't share."""
+    only = lambda x, y: sum((F.bit_count(p.bitwiseAND(F.bitwise_not(q))) for p, q in zip(x, y, strict=True)), F.lit(0))
+    return 9 * F.least(na - only(a, b), nb - only(b, a)) >= 4 * (na + nb)
+
+
+def _links(spark: SparkSession, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b) those that reach the threshold. `classes` is bucketed by node, so only pairs move, and of sets those of pairs left by the filter."""
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *[F.col(c).alias(s + c) for c in _BITS])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_reach(F.col("na"), F.col("nb"), *([F.col(s + c) for c in _BITS] for s in "ab"))).select("a", "b")
     text = lambda s, t: classes.select(F.col("node").alias(s), F.col("tokens").alias(t))
     return written(spark, near.join(text("a", "tx"), "a").join(text("b", "ty"), "b").select("a", "b", "tx", "ty").mapInArrow(_verified, "a binary, b binary"), "links")
 
@@ -154,13 +156,15 @@ def _star_pairs(open_: DataFrame, turn: int) -> DataFrame:
     return star.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
 
 
-def _all_pairs(open_: DataFrame) -> DataFrame:
-    x, y = open_.alias("x"), open_.alias("y")
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y"))
+def _all_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
+    full = open_.join(classes.select("node", *_BITS), "node")
+    x, y = full.alias("x"), full.alias("y")
+    near = _may_reach(F.col("x.n"), F.col("y.n"), *([F.col(f"{s}.{c}") for c in _BITS] for s in "xy"))
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y") & near)
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_bits: int = 26, rounds: int = 6) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_bits: int = 26, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text).
 
     A-Z are lower-cased and words are `[^\\x20\\x09-\\x0D]+`. A set holds the distinct shingles of `size` words; with fewer
@@ -180,25 +184,25 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_b
                 yield h
 
     sent = send(spark, build(rows.select("text"), keys, lambda: RaritySketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism))  # 2^sketch_bits / 2 + 2^24 bytes at any size of the input
-    sets = written(spark, rows.mapInArrow(_sets(size, sent), "doc_id long, n int, node binary, alone int, tokens binary"), "sets")
+    sets = written(spark, rows.mapInArrow(_sets(size, sent), "doc_id long, n int, node binary, alone int, tokens binary, " + ", ".join(f"{b} long" for b in _BITS)), "sets")
     live = sets.where("node is not null")
-    classes = written(spark, live.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens")), "classes")
-    meta = classes.select("node", "n", "tokens").mapInArrow(_ranges, "node binary, n int, ranges array<int>")
+    classes = live.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "alone", "tokens", *_BITS)])
+    classes = bucketed(spark, classes, "node", "classes")
     posted = written(spark, classes.select("node", "n", "alone", "tokens").mapInArrow(_postings, "token long, node binary, n int, pos int"), "postings")
 
     several = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     open_ = written(spark, posted.join(several, "token", "left_semi").withColumn("component", F.col("node")), "shared")
     links, n_shared = None, open_.count()
     for turn in range(rounds):
-        if _open_pairs(open_) <= 2 * n_shared + 10_000:
+        if _open_pairs(open_) <= 8 * n_shared + 10_000:
             break
-        found = _links(spark, _star_pairs(open_, turn), classes, meta)
+        found = _links(spark, _star_pairs(open_, turn), classes)
         links = found if links is None else links.unionByName(found)
         label = components(spark, links)
         named = open_.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = named.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("token")
         open_ = written(spark, named.join(mixed, "token", "left_semi").select(*open_.columns), "open")
-    found = _links(spark, _all_pairs(open_), classes, meta)
+    found = _links(spark, _all_pairs(open_, classes), classes)
     label = components(spark, found if links is None else links.unionByName(found))
 
     of = classes.select("node", "first_id").join(label, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))

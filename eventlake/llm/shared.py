@@ -49,6 +49,16 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, column: str, name: str) -> DataFrame:
+    """`df` written to the shared folder in buckets of `column`, so that joins on it don't shuffle it again. The catalog entry is dropped at once; the files stay."""
+    n, label = int(spark.conf.get("spark.sql.shuffle.partitions")), f"eventlake_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", shared_path(spark, name)).saveAsTable(label, format="parquet")
+    out = spark.table(label)
+    out.schema  # resolved while the entry is there
+    spark.sql(f"DROP TABLE {label}")
+    return out
+
+
 def send(spark: SparkSession, value) -> Callable[[], object]:
     """Broadcasts `value`, of a size that the caller has bounded, and its class with it; the result loads it on an executor."""
     raw = cloudpickle.dumps(value)
@@ -65,7 +75,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most_bytes` of text each (one longer text stands alone), to bound the working memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin = held = 0

@@ -77,14 +77,14 @@ def saturating_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class RaritySketch(Sketch):
-    """Also counts keys in a row of 2^22 cells."""
+    """Also counts keys in a row of 2^21 cells."""
 
     def __init__(self, bits: int):
         super().__init__(bits)
-        self.rows.append(np.zeros(1 << 22, dtype=np.uint32))
+        self.rows.append(np.zeros(1 << 21, dtype=np.uint32))
 
     def _counted(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U(_ODD[2])) >> U(42)).astype(np.int64)
+        return ((keys * U(_ODD[2])) >> U(43)).astype(np.int64)
 
     def add(self, keys: np.ndarray) -> None:
         super().add(keys)
