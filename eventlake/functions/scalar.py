@@ -37,7 +37,7 @@ def text_of(payload: Column) -> Column:
 
 def namespace_levels(text: Column, separator: str = "\x1f") -> Column:
     """Levels, trimmed, without blank ones. The separator is U+001F in paths and a dot in settings."""
-    return F.filter(F.transform(F.split(text, "\\Q" + separator + "\\E"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\\Q" + separator + "\\E"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def metadata_version(name: Column) -> Column:

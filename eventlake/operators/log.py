@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +131,3 @@ def count_prefix(rows: DataFrame, most: int, order: str = "sequence") -> DataFra
     """Of each partition the first `most` rows."""
     return rows.withColumn("_row", F.row_number().over(Window.partitionBy(*PART).orderBy(order))).where(F.col("_row") <= most).drop("_row")
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(Column.__or__, conditions, F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +58,15 @@ def lake_root(spark: SparkSession, sf_dir: str) -> str:
         rows = log(spark, sf_dir)
         rows.write.parquet(f"{root}/.log")
         rows = spark.read.parquet(f"{root}/.log")
-        for topic in [r.topic for r in rows.select("topic").distinct().orderBy("topic").collect()]:
+
+        def one(topic: str) -> None:
             clock = iter((CUT_MS / 1000, CUT_MS / 1000 + 86_400))
-            table = LakeTable(spark, root, topic, granularity="day", clock=lambda c=clock: next(c))
+            table = LakeTable(spark, root, topic, granularity="day", clock=lambda: next(clock))
             for part in (F.col("timestamp_ms") < CUT_MS, F.col("timestamp_ms") >= CUT_MS):
                 table.append([table.stage(rows.where((F.col("topic") == topic) & part))])
+
+        with ThreadPoolExecutor(4) as pool:  # a few tables at a time
+            list(pool.map(one, [r.topic for r in rows.select("topic").distinct().orderBy("topic").collect()]))
         _LAKES[key] = root
     return _LAKES[key]
 
