@@ -164,7 +164,7 @@ def _all_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_bits: int = 26, rounds: int = 3) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_bits: int = 27, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text).
 
     A-Z are lower-cased and words are `[^\\x20\\x09-\\x0D]+`. A set holds the distinct shingles of `size` words; with fewer
@@ -198,7 +198,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_b
             break
         found = _links(spark, _star_pairs(open_, turn), classes)
         links = found if links is None else links.unionByName(found)
-        label = components(spark, links)
+        label = components(spark, links, rounds=2)  # needs to join only what is connected, not all that is
         named = open_.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = named.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("token")
         open_ = written(spark, named.join(mixed, "token", "left_semi").select(*open_.columns), "open")

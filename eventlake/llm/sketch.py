@@ -127,6 +127,6 @@ def build(keys: DataFrame, batches_of_keys, make, tasks: int) -> Sketch:
     kind = "part int, body binary"
     parts = keys.coalesce(tasks).mapInArrow(own, kind).repartition(64, "part").sortWithinPartitions("part").mapInArrow(sums, kind)
     out = make()
-    for number, body in parts.toLocalIterator():
+    for number, body in parts.collect():  # no more than the sketch's own size
         out.load(number, bytes(body))
     return out
