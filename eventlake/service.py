@@ -64,10 +64,17 @@ class Gate:
         return hot_ok and self.bytes < 0.9 * self.most_bytes
 
 
-#: Which status and code an error becomes.
-ERRORS = {"NoSuchNamespace": (404, "NoSuchNamespaceException"), "NoSuchTable": (404, "NoSuchTableException"), "ValueError": (400, "BadRequest"), "NotAcceptable": (406, "NotAcceptable"), "Conflict": (409, "Conflict"), "Overloaded": (503, "Overloaded")}
+class Overloaded(RuntimeError):
+    pass
+
+
+# Which status and code an error becomes.
+ERRORS = {
+    "NoSuchNamespace": (404, "NoSuchNamespaceException"), "NoSuchTable": (404, "NoSuchTableException"), "Overloaded": (503, "SERVER_OVERLOADED"), "ValueError": (400, "BAD_REQUEST"),
+    "Conflict": (409, "COMPACTION_CONFLICT"), "NotAcceptable": (406, "NOT_ACCEPTABLE"),
+}
 
 
 def error_response(error: Exception) -> tuple[int, dict]:
-    status, code = ERRORS.get(type(error).__name__, (500, "InternalError"))
-    return status, {"error": {"message": str(error), "type": code, "code": status}}
+    status, code = ERRORS.get(type(error).__name__, (500, "STORAGE_ERROR"))
+    return status, {"error": str(error), "code": code}

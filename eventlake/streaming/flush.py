@@ -74,15 +74,26 @@ class HotLog:
         state = self.state()
         if batch_id is not None and batch_id <= state["last_batch"]:
             return False
+        self._append(state, batch, batch_id, order)
+        return True
+
+    def append_for_offsets(self, batch: DataFrame, order: str = "arrival") -> DataFrame:
+        """Adds a batch; returns `order` and the sequence of each of its rows, new or not."""
+        state = self.state()
+        known = self.rows(state).where("idempotency_key is not null").select(*L.PART, "idempotency_key", "sequence")
+        name = self._append(state, batch, None, order)
+        return L.offsets_of_batch(batch, self.spark.read.parquet(f"{self.root}/{name}"), order, known)
+
+    def _append(self, state: dict, batch: DataFrame, batch_id: int | None, order: str) -> str:
         known = self.rows(state).where("idempotency_key is not null").select(*L.PART, "idempotency_key")
         new = L.write_batch(batch, order, known, self._marks(state, "high"))
         name = f"batch-{uuid.uuid4().hex}"
-        new.select(*LOG.fieldNames()).write.parquet(f"{self.root}/{name}")
+        new.select(*LOG.fieldNames(), order).write.parquet(f"{self.root}/{name}")
         written = self.spark.read.schema(LOG).parquet(f"{self.root}/{name}")
         for topic, partition, high in L.high_marks(written).collect():  # a row for each partition
             state["marks"].setdefault(json.dumps([topic, partition]), {})["high"] = high
         self._save(state | {"batches": [*state["batches"], name], "last_batch": state["last_batch"] if batch_id is None else batch_id})
-        return True
+        return name
 
     def set_marks(self, name: str, marks: list[tuple[str, int, int]]) -> None:
         """Raises marks; they never fall."""
@@ -92,6 +103,14 @@ class HotLog:
             held[name] = max(held.get(name, 0), value)
         self._save(state)
 
+    def commit_offset(self, group: str, topic: str, partition: int, offset: int) -> None:
+        """The last commit stands, greater or not."""
+        state = self.state()
+        self._save(state | {"offsets": state.get("offsets", {}) | {json.dumps([group, topic, partition]): offset}})
+
+    def committed_offset(self, group: str, topic: str, partition: int) -> int | None:
+        return self.state().get("offsets", {}).get(json.dumps([group, topic, partition]))
+
     def clean(self) -> int:
         """Drops rows up to the flush marks, with their keys. Returns how many sequences that covers; repeated, 0."""
         state = self.state()
