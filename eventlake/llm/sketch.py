@@ -125,7 +125,8 @@ def build(keys: DataFrame, batches_of_keys, make, tasks: int) -> Sketch:
             yield row()
 
     kind = "part int, body binary"
-    parts = keys.coalesce(tasks).mapInArrow(own, kind).repartition(64, "part").sortWithinPartitions("part").mapInArrow(sums, kind)
+    merging = min(2 * _PARTS, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = keys.coalesce(tasks).mapInArrow(own, kind).repartition(merging, "part").sortWithinPartitions("part").mapInArrow(sums, kind)
     out = make()
     for number, body in parts.collect():  # no more than the sketch's own size
         out.load(number, bytes(body))
