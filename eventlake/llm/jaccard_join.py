@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, WordHasher, mix, raw_text
-from .shared import NO_ID, bucketed, send, table, text_slices, written
+from .shared import NO_ID, bucketed, table, text_slices, written
 from .sketch import RaritySketch, build
 
 #: Longs of the suffix filter's bitmap.
@@ -149,10 +149,10 @@ def _open_pairs(open_: DataFrame) -> int:
 
 
 def _star_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Each posting with one of its shingle, of another component: at first the same for as many shingles as can be, then any."""
-    key = F.xxhash64("node", F.lit(turn), *["token"][: turn]).alias("key")
+    """Each posting with one of its shingle, of another component. Shingles are in 16 kinds that each prefer other classes, so a class meets up to 16 in a turn."""
+    key = F.xxhash64("node", F.pmod("token", F.lit(16)), F.lit(turn)).alias("key")
     hubs = open_.groupBy("token").agg(F.min(F.struct(key, "node", "n", "pos", "component")).alias("hub"))
-    star = open_.alias("x").join(hubs, "token").where((F.col("x.component") != F.col("hub.component")) & (_long_enough if turn else _possible)("x", "hub"))
+    star = open_.alias("x").join(hubs, "token").where((F.col("x.component") != F.col("hub.component")) & _long_enough("x", "hub"))
     return star.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
 
 
@@ -164,7 +164,7 @@ def _all_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_bits: int = 27, rounds: int = 2) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_bits: int = 27, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text).
 
     A-Z are lower-cased and words are `[^\\x20\\x09-\\x0D]+`. A set holds the distinct shingles of `size` words; with fewer
@@ -183,7 +183,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_b
             for _, _, h, _ in shingle_sets(batch, hasher, size):
                 yield h
 
-    sent = send(spark, build(rows.select("text"), keys, lambda: RaritySketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism))  # 2^sketch_bits / 2 + 2^24 bytes at any size of the input
+    sent = build(rows.select("text"), keys, lambda: RaritySketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism)  # 2^sketch_bits / 2 + 2^24 bytes at any size of the input
     sets = written(spark, rows.mapInArrow(_sets(size, sent), "doc_id long, n int, node binary, alone int, tokens binary, " + ", ".join(f"{b} long" for b in _BITS)), "sets")
     live = sets.where("node is not null")
     classes = live.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "alone", "tokens", *_BITS)])

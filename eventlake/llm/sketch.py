@@ -6,7 +6,7 @@ can be put in an order that has the rare ones first. Merging and collisions only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,11 +98,12 @@ class RaritySketch(Sketch):
         return a + b if number >= 2 * _PARTS else super().merged(number, a, b)
 
 
-def build(keys: DataFrame, batches_of_keys, make, tasks: int) -> Sketch:
-    """The merged sketch, `make()` when empty, of all keys that `batches_of_keys(iterator)` yields over each partition.
+def build(keys: DataFrame, batches_of_keys, make, tasks: int) -> Callable[[], Sketch]:
+    """The merged sketch, `make()` when empty, of all keys that `batches_of_keys(iterator)` yields over each partition; as a function that loads it on an executor.
 
     At most `tasks` partitions build a sketch of fixed size each; their parts are merged on the executors, one
-    part of 1/32 of a row at a time, and only the merged sketch comes to the driver.
+    part of 1/32 of a row at a time. Only the merged parts, compressed, come to the driver, and are broadcast:
+    no more than the sketch's size, which `make` bounds, whatever the input's.
     """
 
     def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,16 @@ def build(keys: DataFrame, batches_of_keys, make, tasks: int) -> Sketch:
     kind = "part int, body binary"
     merging = min(2 * _PARTS, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = keys.coalesce(tasks).mapInArrow(own, kind).repartition(merging, "part").sortWithinPartitions("part").mapInArrow(sums, kind)
-    out = make()
-    for number, body in parts.collect():  # no more than the sketch's own size
-        out.load(number, bytes(body))
-    return out
+    rows, held = parts.collect(), []
+    while rows:
+        number, body = rows.pop()
+        held.append((number, bytes(body)))
+    sent = keys.sparkSession.sparkContext.broadcast(held)
+
+    def load() -> Sketch:
+        out = make()
+        for number, body in sent.value:
+            out.load(number, body)
+        return out
+
+    return load

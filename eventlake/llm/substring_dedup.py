@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import U, WordHasher, anchors, raw_text
-from .shared import NO_ID, send, table, text_slices
+from .shared import NO_ID, table, text_slices
 from .sketch import Sketch, build
 
 _GRAM = 8
@@ -106,7 +106,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, size: int = 20, sketc
                 yield key[once]
 
     assert gram > 0
-    sent = send(spark, build(docs.select("text"), keys, lambda: Sketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism))  # 2^sketch_bits / 2 bytes at any size of the input
+    sent = build(docs.select("text"), keys, lambda: Sketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism)  # 2^sketch_bits / 2 bytes at any size of the input
     found = docs.mapInArrow(_candidates(size, sent), "h1 long, h2 int, doc_id long, spot long, run int")
     rank = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "spot"))
     return found.withColumn("rank", rank).where("run > 0 or rank > 1").select("doc_id", "spot", F.greatest("run", F.lit(1)).alias("run"))

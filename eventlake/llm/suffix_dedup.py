@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import Powers, Sums, U, anchors, mix, raw_text
-from .shared import NO_ID, send, table, text_slices, written
+from .shared import NO_ID, table, text_slices, written
 from .sketch import Sketch, build
 from .suffix_groups import suffix_array
 
@@ -234,13 +234,13 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, size: int = 400, core: i
             yield np.repeat(batch.column("h").to_numpy().view(U), 2)
 
     tasks, empty = 4 * spark.sparkContext.defaultParallelism, lambda: Sketch(sketch_bits)
-    seen = send(spark, build(docs.select("text"), keys, empty, tasks))  # 2^sketch_bits / 2 bytes at any size of the input
+    seen = build(docs.select("text"), keys, empty, tasks)  # 2^sketch_bits / 2 bytes at any size of the input
     units = written(spark, docs.mapInArrow(_units(size, core, seen, True), _UNIT_SQL), "units")
     own = units.where("n > 0")
     several = written(spark, own.select("h", "u").distinct().groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "several")
     whole = own.withColumn("total", F.sum("n").over(Window.partitionBy("h", "u"))).where("total > 1").select(*_RUN.names)
     copies = units.where("n = 0").select(*_RUN.names)
-    open_ = send(spark, build(several.select("h"), twice, lambda: Sketch(max(10, sketch_bits - 2)), tasks))
+    open_ = build(several.select("h"), twice, lambda: Sketch(max(10, sketch_bits - 2)), tasks)
     shared = docs.mapInArrow(_units(size, core, open_, False), f"{_UNIT_SQL}, left int, body binary").join(several, "h")
     shared = written(spark, shared.select("m", *_UNIT.names, "left", "body"), "shared")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as a number: by size alone too few tasks would sort
