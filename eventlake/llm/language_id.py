@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, send, table
+from .shared import held_out, send, small_batches, table
 
 BITS = 16
 SIZE = 1 << BITS
@@ -136,7 +136,9 @@ def train(docs: DataFrame, sample_rows: int = 2000, epochs: int = 4, **penalties
     doc_id are taken. Document frequencies count all rows. Without usable rows the model says und.
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = dict(known.select("text").mapInArrow(_frequency_batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+    spark = docs.sparkSession
+    with small_batches(spark):
+        counts = dict(known.select("text").mapInArrow(_frequency_batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect())
     total = counts.pop(SIZE, 0)
     if not total:
         return Model([], np.zeros(SIZE), np.zeros((SIZE + 1, 0)), 1.0)
@@ -145,7 +147,8 @@ def train(docs: DataFrame, sample_rows: int = 2000, epochs: int = 4, **penalties
     idf = np.log((1 + total) / (1 + df)) + 1
     key = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("language")), F.lit(1 << 40))
     below = (1 << 40) * min(1.0, sample_rows / total)
-    rows = known.withColumn("key", key).where(F.col("key") < F.lit(int(below))).mapInArrow(_sample_batches, "key long, lang string, at array<int>, n array<int>").toArrow()
+    with small_batches(spark):
+        rows = known.withColumn("key", key).where(F.col("key") < F.lit(int(below))).mapInArrow(_sample_batches, "key long, lang string, at array<int>, n array<int>").toArrow()
     order = np.argsort(np.asarray(rows["key"].to_numpy()), kind="stable")[:sample_rows]
     labels = [rows["lang"][int(i)].as_py() for i in order]
     langs = sorted(set(labels))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,9 +44,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that start within send Python `rows` rows at a time: texts of megabytes make the usual ten thousand too many for the memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lost executors can read it again, and no later plan recomputes it."""
-    df.write.parquet(path := shared_path(spark, name))
+    with small_batches(spark):
+        df.write.parquet(path := shared_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 

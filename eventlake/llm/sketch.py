@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 U = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _LOW = U(0x5555555555555555)
@@ -128,7 +130,8 @@ def build(keys: DataFrame, batches_of_keys, make, tasks: int) -> Callable[[], Sk
     kind = "part int, body binary"
     merging = min(2 * _PARTS, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = keys.coalesce(tasks).mapInArrow(own, kind).repartition(merging, "part").sortWithinPartitions("part").mapInArrow(sums, kind)
-    rows, held = parts.collect(), []
+    with small_batches(keys.sparkSession):
+        rows, held = parts.collect(), []
     while rows:
         number, body = rows.pop()
         held.append((number, bytes(body)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, send, table
+from .shared import held_out, send, small_batches, table
 
 BITS = 18
 SIZE = 1 << BITS
@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, **how) ->
         return Model(np.zeros(SIZE), -8.0)
     picked = known.withColumn("key", key).where(F.col("key") < F.coalesce(*share))
     found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("key", "label", "text")  # bounded by sample_rows
-    rows = found.mapInArrow(_bag_batches, "key long, label int, at array<int>, of array<int>").toArrow().sort_by([("label", "ascending"), ("key", "ascending")])
+    with small_batches(docs.sparkSession):
+        rows = found.mapInArrow(_bag_batches, "key long, label int, at array<int>, of array<int>").toArrow().sort_by([("label", "ascending"), ("key", "ascending")])
     bags = [(np.asarray(rows["at"][i].values), np.asarray(rows["of"][i].values)) for i in range(len(rows))]
     return fit(bags, rows["label"].to_numpy(), **how)
 
