@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, send, small_batches, table
+from .shared import held_out, release, send, small_batches, table
 
 BITS = 16
 SIZE = 1 << BITS
@@ -171,6 +171,8 @@ def train(docs: DataFrame, sample_rows: int = 2000, epochs: int = 4, **penalties
     logits = np.array([x @ w[at] + w[SIZE] for at, x in (xs[i] for i in aside)]).reshape(len(aside), len(langs))
     loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(aside)), [ys[i] for i in aside]], 1e-12)).mean()
     temperature = min(np.geomspace(0.05, 5, 60), key=loss) if aside else 1.0
+    del rows, xs, learner
+    release()
     return Model(langs, idf, w, float(temperature))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +46,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release() -> None:
+    """Gives freed memory of this process back to the system; the driver keeps no more than it needs after a collected sample or sketch."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs that start within send Python `rows` rows at a time: texts of megabytes make the usual ten thousand too many for the memory."""

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import small_batches
+from .shared import release, small_batches
 
 U = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -136,6 +136,8 @@ def build(keys: DataFrame, batches_of_keys, make, tasks: int) -> Callable[[], Sk
         number, body = rows.pop()
         held.append((number, bytes(body)))
     sent = keys.sparkSession.sparkContext.broadcast(held)
+    del rows, held
+    release()
 
     def load() -> Sketch:
         out = make()
