@@ -501,10 +501,12 @@ def a11_hot_count(spark, sf):
     return marks.select("topic", "partition", L.hot_count(F.col("high"), F.coalesce("low", F.lit(0))).alias("hot"))
 
 
-@query(f"{_FLUSH}, h AS (SELECT topic, \"partition\", max(sequence) AS high FROM log GROUP BY ALL) SELECT topic, h.\"partition\", high, flush AS committed, greatest(high - coalesce(flush, 0), 0) AS lag FROM h LEFT JOIN (SELECT * FROM f WHERE topic <> 'view') c USING (topic, \"partition\")")
+@query(f"{_FLUSH}, h AS (SELECT topic, \"partition\", max(sequence) AS high FROM log GROUP BY ALL) SELECT topic, h.\"partition\", high, coalesce(flush, -1) AS committed, greatest(high - coalesce(flush, 0), 0) AS lag FROM h LEFT JOIN (SELECT * FROM f WHERE topic <> 'view') c USING (topic, \"partition\")")
 def a12_lag(spark, sf):
+    """A partition without a commit shows -1."""
     rows = log(spark, sf)
-    return L.lag(L.high_marks(rows), _flush(rows).where("topic != 'view'").withColumnRenamed("flush", "committed"))
+    found = L.lag(L.high_marks(rows), _flush(rows).where("topic != 'view'").withColumnRenamed("flush", "committed"))
+    return found.withColumn("committed", F.coalesce("committed", F.lit(-1)))
 
 
 @query(', e AS (SELECT topic, "partition", unnest(generate_series(1, max(sequence) + 5)) AS s FROM log GROUP BY topic, "partition") SELECT count(*) AS missing, count(DISTINCT e.topic) AS topics FROM e LEFT JOIN (SELECT topic, "partition", sequence FROM log WHERE sequence % 50 >= 10) l ON e.topic = l.topic AND e."partition" = l."partition" AND e.s = l.sequence WHERE l.sequence IS NULL AND e.s <= (SELECT max(sequence) + 5 FROM log l2 WHERE l2.topic = e.topic AND l2."partition" = e."partition")')
@@ -584,7 +586,7 @@ def f7_lifted(spark, sf):
     return requests(spark, sf).select("event_id", lifted(F.col("payload"), Extracted("k", "k", "Int64")).alias("k"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN NULL ELSE CAST(json_extract(payload, '$.k') AS BIGINT) END AS k, event_id AS id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'no json ' || event_id ELSE '{\"more\":{\"x\":1}}' END AS rest FROM src")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN -1 ELSE CAST(json_extract(payload, '$.k') AS BIGINT) END AS k, event_id AS id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'no json ' || event_id ELSE '{\"more\":{\"x\":1}}' END AS rest FROM src")
 def f8_extracted(spark, sf):
     """Columns and overflow; a third of the payloads are no JSON and go whole to the overflow."""
     r = requests(spark, sf)
@@ -592,7 +594,7 @@ def f8_extracted(spark, sf):
     body = F.when(ident % 3 == 1, F.concat(F.lit("no json "), ident.cast("string"))).when(ident % 3 == 0, text).otherwise(F.concat(F.lit('{"more":{"x":1,"k":2},'), F.substring(text, 2, 1000)))
     config = TableConfig((Extracted("k", "k", "Int64"), Extracted("gone", "more.k", "Int32")), "json")
     out = extracted(r.select("event_id", F.encode(body, "UTF-8").alias("payload")), config)
-    return out.select("event_id", "k", F.col("event_id").alias("id"), F.col("_payload_overflow").cast("string").alias("rest"))
+    return out.select("event_id", F.coalesce("k", F.lit(-1)).alias("k"), F.col("event_id").alias("id"), F.col("_payload_overflow").cast("string").alias("rest"))
 
 
 @query("SELECT event_id, list_filter([trim(x) FOR x IN string_split(topic || '. .' || payload || '.', '.')], lambda x: x <> '') AS levels FROM src".replace("SELECT event_id, list_filter(", "SELECT event_id, array_to_string(list_filter(").replace(", lambda x: x <> '') AS levels", ", lambda x: x <> ''), '|') AS levels"))
