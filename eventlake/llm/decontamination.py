@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
-Words are made canonical: numbers, names and units become typed placeholders. Windows of five canonical words
-are hashed and joined with the benchmark's; where a document holds most of an item's windows along one
+Words are made canonical: numbers, names and units become typed placeholders. Windows of five words are hashed
+in two forms, canonical and in plain lower case, so that a copy whose case was changed is found too, and joined
+with the benchmark's; a window is found if either form is. Where a document holds most of an item's windows along one
 alignment, the values that fill the placeholders are compared. They must be renamed consistently (a
 one-to-one mapping), as a re-parameterised question does; the same template with muddled values is no copy.
 
@@ -48,34 +49,47 @@ def _is_slot(canon: Column) -> Column:
 
 
 def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """key, words, pos and hash: a row for each window of `size` canonical words with at least one that is no placeholder."""
+    """key, words, pos and hash: for each window of `size` words a row for its template and, where that has placeholders, one for its words in lower case.
 
-    def hashed(canon: Column) -> Column:
-        words = lambda i: [F.get(canon, i + k) for k in range(size)]
-        at = F.when(F.size(canon) >= size, F.sequence(F.lit(0), F.size(canon) - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.when(~reduce(Column.__and__, map(_is_slot, words(i))), F.xxhash64(F.concat_ws(" ", *words(i)))))
+    A template of placeholders only has no row.
+    """
+    masks = {"<n>": -1, "<name>": -2, "<unit>": -3}
+    low = lambda w: F.xxhash64(F.lower(w)).bitwiseAND(F.lit(2**63 - 1))
+    typed = lambda w: let(canonical(w), lambda c: F.coalesce(*[F.when(c == k, F.lit(v).cast("long")) for k, v in masks.items()], F.xxhash64(c).bitwiseAND(F.lit(2**63 - 1))))
+
+    def hashed(both: Column) -> Column:
+        canon, plain = both.canon, both.plain
+        n = F.size(canon)
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        of = lambda a, i: [F.get(a, i + k) for k in range(size)]
+        whole = lambda i: i <= n - size
+        template = F.transform(at, lambda i: F.when(whole(i) & (F.greatest(F.lit(-9), *of(canon, i)) >= 0), F.xxhash64(*of(canon, i))))
+        literal = F.transform(at, lambda i: F.when(whole(i) & (F.least(F.lit(9), *of(canon, i)) < 0), F.xxhash64(*of(plain, i))))
+        return F.concat(template, literal)
 
     split = df.select(key, words_of(F.col("text")).alias("words"))
-    return split.select(key, "words", F.posexplode(let(F.transform("words", canonical), hashed)).alias("pos", "hash")).where("hash is not null")
+    split = split.select(key, "words", F.posexplode(let(F.struct(F.transform("words", typed).alias("canon"), F.transform("words", low).alias("plain")), hashed)).alias("at", "hash"))
+    return split.where("hash is not null").select(key, "words", (F.col("at") % F.size("words")).alias("pos"), "hash")
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8, most_broadcast: int = 500_000) -> DataFrame:
     """doc_id, item_id, n_windows, n_found, coverage: documents that hold an item of the benchmark, and which.
 
     A document holds an item if along consistent alignments it has at least `share` of the item's windows
-    of `size` words. Items with fewer words than a window are found by no window and left out; null and empty texts
+    of `size` words, as templates or word by word whatever their case. Items with fewer words than a window are found by no window and left out; null and empty texts
     of either side hold nothing. Windows of placeholders only don't count. Rows with a null doc_id or item_id are left
     out; repeated rows count once. Texts are read whole. Empty tables give an empty result; other columns don't matter.
     """
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
     wanted = _windows(items, "item_id", size).select("item_id", F.col("pos").alias("ipos"), "hash", F.slice("words", F.col("pos") + 1, size).alias("theirs"))
+    wanted = wanted.where(~F.forall("theirs", lambda w: _is_slot(canonical(w))))
     wanted = written(spark, wanted, "benchmark")
     n_wanted = wanted.count()
     side = F.broadcast(wanted) if n_wanted <= most_broadcast else wanted
     held = _windows(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", size)
     # the words of a window are cut out after the join, so they are copied for matches only
     found = held.join(side, "hash").select("doc_id", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.slice("words", F.col("pos") + 1, size).alias("ours"), "theirs")
-    pairs = F.filter(F.arrays_zip("theirs", "ours"), lambda p: _is_slot(canonical(p.theirs)))
+    pairs = F.transform(F.filter(F.arrays_zip("theirs", "ours"), lambda p: _is_slot(canonical(p.theirs))), lambda p: F.struct(F.lower(p.theirs).alias("theirs"), F.lower(p.ours).alias("ours")))
     lined = found.distinct().groupBy("doc_id", "item_id", "shift").agg(F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     one_to_one = (F.size(F.array_distinct(F.col("pairs.theirs"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.ours"))) == F.size("pairs"))
     got = lined.where(one_to_one).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).alias("n_found"))

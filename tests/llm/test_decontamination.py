@@ -84,3 +84,9 @@ def test_empty_tables(spark):
     table = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(spark, documents(spark, corpus()), table).collect() == []
     assert contaminated(spark, documents(spark, []), spark.createDataFrame(ITEMS[:1], "item_id long, text string")).collect() == []
+
+
+def test_changed_case_is_found(spark):
+    item = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    got = contaminated(spark, documents(spark, [(1, ITEMS[0][1].lower()), (2, "x " + ITEMS[0][1].upper()), (3, ITEMS[0][1].title())]), item).collect()
+    assert {(r.doc_id, r.item_id, r.coverage) for r in got} == {(1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0)}
