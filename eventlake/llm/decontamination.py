@@ -3,8 +3,9 @@
 Words are made canonical: numbers, names and units become typed placeholders. Windows of five words are hashed
 in two forms, canonical and in plain lower case, so that a copy whose case was changed is found too, and joined
 with the benchmark's; a window is found if either form is. Where a document holds most of an item's windows along one
-alignment, the values that fill the placeholders are compared. They must be renamed consistently (a
-one-to-one mapping), as a re-parameterised question does; the same template with muddled values is no copy.
+alignment, the values that fill the placeholders are compared. They must be renamed consistently (names and units
+one-to-one, numbers by a function), as a re-parameterised question does; windows that hold a pair against the
+renaming don't count unless their words are equal, so the same template with muddled values is no copy.
 
 DataFrame functions only. The benchmark's windows are broadcast if a count shows them to be few; else both
 sides are shuffled by the window's hash.
@@ -12,9 +13,7 @@ sides are shuffled by the window's hash.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import BLANKS, table, written
@@ -72,6 +71,27 @@ def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
     return split.where("hash is not null").select(key, "words", (F.col("at") % F.size("words")).alias("pos"), "hash")
 
 
+def _consistent(found: DataFrame) -> DataFrame:
+    """The windows (rows of `found`) with equal words, and those whose values fit the renaming of their alignment.
+
+    The renaming takes each value of an item to the one it most often becomes; names and units must also be the ones that most
+    often become it. Of equally frequent pairs the one that comes first in the item stands. Case doesn't matter.
+    """
+    line = ["doc_id", "item_id", "shift"]
+    low = lambda c: F.transform(c, F.lower)
+    kinds = F.transform("theirs", canonical)
+    places = F.sequence(F.lit(0), F.size("theirs") - 1)
+    each = F.arrays_zip(F.transform(places, lambda k: k + F.col("ipos")).alias("at"), kinds.alias("kind"), low("theirs").alias("own"), low("ours").alias("new"))
+    loose = found.withColumn("same", low(F.col("theirs")) == low(F.col("ours")))
+    pairs = loose.select(*line, "ipos", "same", F.inline(F.filter(each, lambda p: _is_slot(p.kind))))
+    often = pairs.groupBy(*line, "kind", "own", "new").agg(F.countDistinct("at").alias("n"), F.min("at").alias("first"))
+    first = lambda c: F.row_number().over(Window.partitionBy(*line, "kind", c).orderBy(F.desc("n"), "first", "own", "new"))
+    ranked = often.withColumn("by_own", first("own")).withColumn("by_new", first("new"))
+    odd = ranked.where("by_own > 1 or (kind != '<n>' and by_new > 1)").select(*line, "kind", "own", "new")
+    broken = pairs.where("not same").join(odd, [*line, "kind", "own", "new"], "left_semi").select(*line, "ipos").distinct()
+    return loose.where("same").drop("same").unionByName(loose.where("not same").drop("same").join(broken, [*line, "ipos"], "left_anti"))
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8, most_broadcast: int = 500_000) -> DataFrame:
     """doc_id, item_id, n_windows, n_found, coverage: documents that hold an item of the benchmark, and which.
 
@@ -83,19 +103,17 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
     wanted = _windows(items, "item_id", size).select("item_id", F.col("pos").alias("ipos"), "hash", F.slice("words", F.col("pos") + 1, size).alias("theirs"))
     wanted = wanted.where(~F.forall("theirs", lambda w: _is_slot(canonical(w))))
-    wanted = written(spark, wanted, "benchmark")
+    wanted = written(spark, wanted.withColumn("n_windows", F.size(F.collect_set("ipos").over(Window.partitionBy("item_id")))), "benchmark")
     n_wanted = wanted.count()
     side = F.broadcast(wanted) if n_wanted <= most_broadcast else wanted
     held = _windows(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", size)
     # the words of a window are cut out after the join, so they are copied for matches only
-    found = held.join(side, "hash").select("doc_id", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.slice("words", F.col("pos") + 1, size).alias("ours"), "theirs")
-    pairs = F.transform(F.filter(F.arrays_zip("theirs", "ours"), lambda p: _is_slot(canonical(p.theirs))), lambda p: F.struct(F.lower(p.theirs).alias("theirs"), F.lower(p.ours).alias("ours")))
-    lined = found.distinct().groupBy("doc_id", "item_id", "shift").agg(F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.theirs"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.ours"))) == F.size("pairs"))
-    got = lined.where(one_to_one).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).alias("n_found"))
-    sizes = wanted.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
-    sizes = F.broadcast(sizes) if n_wanted <= most_broadcast else sizes
-    out = got.join(sizes, "item_id").withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= share)
+    found = held.join(side, "hash").select("doc_id", "item_id", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.slice("words", F.col("pos") + 1, F.size("theirs")).alias("ours"), "theirs")
+    # consistency only takes windows away, so what has too few before is done
+    enough = F.size(F.collect_set("ipos").over(Window.partitionBy("doc_id", "item_id"))) / F.col("n_windows") >= share
+    found = written(spark, found.distinct().withColumn("enough", enough).where("enough").drop("enough"), "found")
+    got = _consistent(found).groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("ipos").alias("n_found"))
+    out = got.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= share)
     return out.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_found").cast("long").alias("n_found"), "coverage")
 
 

@@ -90,3 +90,12 @@ def test_changed_case_is_found(spark):
     item = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
     got = contaminated(spark, documents(spark, [(1, ITEMS[0][1].lower()), (2, "x " + ITEMS[0][1].upper()), (3, ITEMS[0][1].title())]), item).collect()
     assert {(r.doc_id, r.item_id, r.coverage) for r in got} == {(1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0)}
+
+
+def test_one_odd_value_costs_its_windows_only(spark):
+    long = "Tom buys 3 apples at the market and then " + " ".join(f"word{chr(97 + i)}" for i in range(26)) + " before he sells 5 of them while at last Tom pays 3 coins for bread and goes slowly home by the old road"
+    items = spark.createDataFrame([(1, long)], "item_id long, text string")
+    renamed = long.replace("Tom", "Paul").replace("3", "12").replace("5", "40")
+    docs = [(1, long.replace("Tom pays", "Bob pays")), (2, long.replace("pays 3", "pays 4")), (3, renamed.replace("40", "12")), (4, renamed.replace("Paul pays", "Bob pays")), (5, renamed)]
+    got = {r.doc_id: r.n_windows - r.n_found for r in contaminated(spark, documents(spark, docs), items).collect()}
+    assert got == {1: 5, 2: 5, 3: 0, 4: 5, 5: 0}
