@@ -13,6 +13,8 @@ sides are shuffled by the window's hash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +49,8 @@ def _is_slot(canon: Column) -> Column:
     return canon.isin("<n>", "<name>", "<unit>")
 
 
-def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """key, words, pos and hash: for each window of `size` words a row for its template and, where that has placeholders, one for its words in lower case.
+def _windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """key, words, pos and hash: for each window of as many words as `sizes` lists a row for its template and, where that has placeholders, one for its words in lower case.
 
     A template of placeholders only has no row.
     """
@@ -60,11 +62,13 @@ def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
         canon, plain = both.canon, both.plain
         n = F.size(canon)
         at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        of = lambda a, i: [F.get(a, i + k) for k in range(size)]
-        whole = lambda i: i <= n - size
-        template = F.transform(at, lambda i: F.when(whole(i) & (F.greatest(F.lit(-9), *of(canon, i)) >= 0), F.xxhash64(*of(canon, i))))
-        literal = F.transform(at, lambda i: F.when(whole(i) & (F.least(F.lit(9), *of(canon, i)) < 0), F.xxhash64(*of(plain, i))))
-        return F.concat(template, literal)
+        out = []
+        for size in sizes:
+            of = lambda a, i, size=size: [F.get(a, i + k) for k in range(size)]
+            whole = lambda i, size=size: i <= n - size
+            out.append(F.transform(at, lambda i: F.when(whole(i) & (F.greatest(F.lit(-9), *of(canon, i)) >= 0), F.xxhash64(*of(canon, i)))))
+            out.append(F.transform(at, lambda i: F.when(whole(i) & (F.least(F.lit(9), *of(canon, i)) < 0), F.xxhash64(*of(plain, i)))))
+        return F.concat(*out)
 
     split = df.select(key, words_of(F.col("text")).alias("words"))
     split = split.select(key, "words", F.posexplode(let(F.struct(F.transform("words", typed).alias("canon"), F.transform("words", low).alias("plain")), hashed)).alias("at", "hash"))
@@ -96,17 +100,22 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
     """doc_id, item_id, n_windows, n_found, coverage: documents that hold an item of the benchmark, and which.
 
     A document holds an item if along consistent alignments it has at least `share` of the item's windows
-    of `size` words, as templates or word by word whatever their case. Items with fewer words than a window are found by no window and left out; null and empty texts
-    of either side hold nothing. Windows of placeholders only don't count. Rows with a null doc_id or item_id are left
-    out; repeated rows count once. Texts are read whole. Empty tables give an empty result; other columns don't matter.
+    of `size` words, as templates or word by word whatever their case. An item with fewer words than a window is
+    one window; null texts and texts without words of either side hold nothing. Windows of placeholders only
+    don't count, unless an item has no others: then they are matched word by word. Rows with a null doc_id or
+    item_id are left out; repeated rows count once. Texts are read whole. Empty tables give an empty result; other columns don't matter.
     """
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
-    wanted = _windows(items, "item_id", size).select("item_id", F.col("pos").alias("ipos"), "hash", F.slice("words", F.col("pos") + 1, size).alias("theirs"))
-    wanted = wanted.where(~F.forall("theirs", lambda w: _is_slot(canonical(w))))
+    n_words = F.size(words_of(F.col("text")))
+    shorter = sorted(r[0] for r in items.select(n_words.alias("n")).where((F.col("n") > 0) & (F.col("n") < size)).distinct().collect())
+    cut = lambda of, n: _windows(of, "item_id", [n]).select("item_id", F.col("pos").alias("ipos"), "hash", F.slice("words", F.col("pos") + 1, n).alias("theirs"))
+    wanted = reduce(DataFrame.unionByName, [cut(items, size), *(cut(items.where(n_words == n), n) for n in shorter)])
+    wanted = wanted.withColumn("typed", ~F.forall("theirs", lambda w: _is_slot(canonical(w)))).withColumn("any", F.max("typed").over(Window.partitionBy("item_id")))
+    wanted = wanted.where(F.col("typed") | ~F.col("any")).drop("typed", "any")
     wanted = written(spark, wanted.withColumn("n_windows", F.size(F.collect_set("ipos").over(Window.partitionBy("item_id")))), "benchmark")
     n_wanted = wanted.count()
     side = F.broadcast(wanted) if n_wanted <= most_broadcast else wanted
-    held = _windows(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", size)
+    held = _windows(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", [size, *shorter])
     # the words of a window are cut out after the join, so they are copied for matches only
     found = held.join(side, "hash").select("doc_id", "item_id", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.slice("words", F.col("pos") + 1, F.size("theirs")).alias("ours"), "theirs")
     # consistency only takes windows away, so what has too few before is done

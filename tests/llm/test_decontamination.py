@@ -99,3 +99,10 @@ def test_one_odd_value_costs_its_windows_only(spark):
     docs = [(1, long.replace("Tom pays", "Bob pays")), (2, long.replace("pays 3", "pays 4")), (3, renamed.replace("40", "12")), (4, renamed.replace("Paul pays", "Bob pays")), (5, renamed)]
     got = {r.doc_id: r.n_windows - r.n_found for r in contaminated(spark, documents(spark, docs), items).collect()}
     assert got == {1: 5, 2: 5, 3: 0, 4: 5, 5: 0}
+
+
+def test_short_and_placeholder_items_are_found(spark):
+    items = spark.createDataFrame([(1, "Tom eats 3 pears"), (2, "Tom Anna Bob Maria Paul Eve"), (3, "7 12 9"), (4, "plain words"), (5, " .")], "item_id long, text string")
+    docs = [(1, "then tom eats 3 pears"), (2, "x Tom Anna Bob Maria Paul Eve y"), (3, "Eve Tom Anna Bob Maria Paul"), (4, "is 7, 12, 9"), (5, "is 7 12 8"), (6, "Plain words"), (7, "words plain"), (8, "Eve eats 4 pears"), (9, None), (10, "x")]
+    got = contaminated(spark, documents(spark, docs), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (4, 3), (6, 4), (8, 1)] and {r.coverage for r in got} == {1.0}
