@@ -1,8 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over all training texts. The weights are fitted on the driver, by
-follow-the-regularised-leader steps with elastic-net penalties, on a bounded sample of labelled rows
-(`sample_rows`); a fifth of that sample is kept aside to fit the temperature. Scoring reads every whole text.
+follow-the-regularised-leader steps with elastic-net penalties, on a bounded sample of the rows of each language
+(`sample_rows`); a fifth of that sample is kept aside to fit the temperature. Languages are counted over all
+training rows, so a rare one is learned too. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -109,20 +110,29 @@ class Model:
 
 
 def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, total = np.zeros(SIZE + 1, dtype=np.int64), 0
+    """Rows of each bucket; and for each language, with a null bucket, its rows and the least key among them."""
+    df, langs = np.zeros(SIZE, dtype=np.int64), {}
     for batch in batches:
-        for text in batch.column("text"):
+        for text, lang, key in zip(batch.column("text"), batch.column("lang").to_pylist(), batch.column("key").to_pylist(), strict=True):
             if has_letter(t := text.as_py()):
                 df[ngram_counts(t)[0]] += 1
-                total += 1
-    df[SIZE] = total
+                n, least = langs.get(lang, (0, key))
+                langs[lang] = n + 1, min(least, key)
     at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(df[at], pa.int64())})
+    yield pa.RecordBatch.from_pydict({
+        "bucket": pa.array([*at.tolist(), *[None] * len(langs)], pa.int32()), "lang": pa.array([*[None] * len(at), *langs], pa.string()),
+        "n": pa.array([*df[at].tolist(), *(n for n, _ in langs.values())], pa.int64()), "least": pa.array([*[None] * len(at), *(k for _, k in langs.values())], pa.int64()),
+    })
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()  # a repeated row counts once
     for batch in batches:
-        rows = [(k, lang, *ngram_counts(t)) for k, lang, t in zip(batch.column("key").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if has_letter(t)]
+        rows = []
+        for k, lang, t in zip(*(batch.column(c).to_pylist() for c in ("key", "lang", "text")), strict=True):
+            if (lang, k) not in seen and has_letter(t):
+                seen.add((lang, k))
+                rows.append((k, lang, *ngram_counts(t)))
         yield pa.RecordBatch.from_pydict({
             "key": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()),
             "at": pa.array([r[2].astype(np.int32) for r in rows], pa.list_(pa.int32())), "n": pa.array([r[3].astype(np.int32) for r in rows], pa.list_(pa.int32())),
@@ -132,28 +142,36 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, sample_rows: int = 2000, epochs: int = 4, **penalties) -> Model:
     """Learns from `docs` (doc_id, text, lang), rows with a null lang or no letters aside.
 
-    sample_rows bounds the rows that reach the driver; of more, those with the smallest hash of their
-    doc_id are taken. Document frequencies count all rows. Without usable rows the model says und.
+    sample_rows bounds the rows of each language that reach the driver; of more, those with the smallest hash of
+    doc_id and text are taken, repeated rows once. Languages and document frequencies are counted over all rows, so every
+    language with a usable row is learned. Without usable rows the model says und.
     """
-    known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    key = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 40))
+    known = docs.where("lang is not null and text is not null").select("text", "lang", key.alias("key"))
     spark = docs.sparkSession
     with small_batches(spark):
-        counts = dict(known.select("text").mapInArrow(_frequency_batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect())
-    total = counts.pop(SIZE, 0)
-    if not total:
+        counts = known.mapInArrow(_frequency_batches, "bucket int, lang string, n long, least long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect()
+    sizes = {r.lang: r for r in counts if r.bucket is None}
+    langs = sorted(sizes)
+    if not langs:
         return Model([], np.zeros(SIZE), np.zeros((SIZE + 1, 0)), 1.0)
-    df = np.zeros(SIZE)
-    df[list(counts)] = list(counts.values())
+    df, total = np.zeros(SIZE), sum(r.n for r in sizes.values())
+    for r in counts:
+        if r.bucket is not None:
+            df[r.bucket] = r.n
     idf = np.log((1 + total) / (1 + df)) + 1
-    key = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("language")), F.lit(1 << 40))
-    below = (1 << 40) * min(1.0, sample_rows / total)
+    below = spark.createDataFrame([(k, max(int((1 << 40) * min(1.0, sample_rows / r.n)), r.least + 1)) for k, r in sizes.items()], "lang string, below long")
+    picked = known.join(F.broadcast(below), "lang").where("key < below").select("key", "lang", "text")  # one small row for each language
     with small_batches(spark):
-        rows = known.withColumn("key", key).where(F.col("key") < F.lit(int(below))).mapInArrow(_sample_batches, "key long, lang string, at array<int>, n array<int>").toArrow()
-    order = np.argsort(np.asarray(rows["key"].to_numpy()), kind="stable")[:sample_rows]
-    labels = [rows["lang"][int(i)].as_py() for i in order]
-    langs = sorted(set(labels))
-    if not langs:
-        return Model([], idf, np.zeros((SIZE + 1, 0)), 1.0)
+        rows = picked.mapInArrow(_sample_batches, "key long, lang string, at array<int>, n array<int>").toArrow()
+    keys, named = rows["key"].to_pylist(), rows["lang"].to_pylist()
+    order, rank, taken = [], [], {}
+    for i in sorted(range(len(keys)), key=lambda i: (named[i], keys[i])):
+        n, before = taken.get(named[i], (0, None))
+        if n < sample_rows and keys[i] != before:
+            taken[named[i]] = n + 1, keys[i]
+            order.append(i), rank.append(n)
+    labels = [named[i] for i in order]
 
     def vector(i) -> tuple[np.ndarray, np.ndarray]:
         at, n = (np.asarray(rows[c][int(i)].values) for c in ("at", "n"))
@@ -161,8 +179,8 @@ def train(docs: DataFrame, sample_rows: int = 2000, epochs: int = 4, **penalties
         return at, x / np.sqrt(x @ x)
 
     xs, ys = [vector(i) for i in order], [langs.index(x) for x in labels]
-    aside = [i for i in range(len(xs)) if i % 5 == 4]
-    fit = [i for i in range(len(xs)) if i % 5 != 4]
+    aside = [i for i, n in enumerate(rank) if n % 5 == 4]
+    fit = [i for i, n in enumerate(rank) if n % 5 != 4]
     learner, dice = Ftrl(len(langs), **penalties), np.random.default_rng(7)
     for _ in range(epochs):
         for i in dice.permutation(fit):

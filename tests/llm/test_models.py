@@ -79,3 +79,12 @@ def test_noisy_or_is_one_minus_the_product():
 def test_one_label_only(spark):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.score(documents(spark, [(1, "x")]), toxicity.train(documents(spark, [(1, "x")]), labels)).collect()] == [0]
+
+
+def test_learns_rare_languages(spark):
+    common = [(i, f"lorem ipsum dolor {'sit ' * (i % 7)}", "aa") for i in range(300)] + [(None, f"größe straße {'x' * i}", "bb") for i in range(60)]
+    docs = spark.createDataFrame(common + [(9000, "日本 東京", "cc"), (9001, "日本 大阪 東京", "cc"), (9002, "12", "dd")], "doc_id long, text string, lang string")
+    model = language_id.train(docs, sample_rows=20)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs.where("lang != 'bb'"), model).collect()}
+    assert got[9000] == got[9001] == "cc" and got[5] == "aa"
