@@ -200,10 +200,18 @@ def _found(text: str, f: Feistel, back: bool) -> Iterator[tuple[int, int, str, s
     for run in _RUN.finditer(text):
         if run.end() - run.start() >= 7:
             for kind, pattern, change in _NUMBERS:
-                for m in pattern.finditer(text, max(0, run.start() - 1), min(len(text), run.end() + 1)):
-                    inside = text[m.start() - 1 : m.start()].isdigit() or text[m.end() : m.end() + 1].isdigit()
-                    if not inside and (new := change(f, m[0], back)):
-                        yield *m.span(), kind, new
+                at, stop = max(0, run.start() - 1), min(len(text), run.end() + 1)
+                while m := pattern.search(text, at, stop):
+                    at = m.start() + 1  # a candidate that fails takes no characters from the next
+                    end = m.end()
+                    while m:
+                        inside = text[m.start() - 1 : m.start()].isdigit() or text[m.end() : m.end() + 1].isdigit()
+                        if not inside and (new := change(f, m[0], back)):
+                            yield *m.span(), kind, new
+                            at = m.end()
+                            break
+                        end = m.end() - 1  # a shorter one with the same start
+                        m = pattern.match(text, m.start(), end)
 
 
 def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:

@@ -74,3 +74,10 @@ def test_keys_of_letters_only(spark):
     got = protect(documents(spark, rows), b"key").collect()
     assert [r.kinds for r in got] == [{"key": 1}] * 3
     assert "in 7 " + got[0].text == got[1].text and "abcdefghijklmnopqrstuv" not in got[0].text and "ABCDEFGHIJKLMNOP" not in got[2].text
+
+
+def test_failed_candidates_hide_no_value():
+    for text, value, kind in (("in 2023 4111 1111 1111 1111 paid", "4111 1111 1111 1111", "card"), ("1234 5678 4111-1111-1111-1111", "4111-1111-1111-1111", "card"), ("+1 556 555 7508 2023", "+1 556 555 7508", "phone")):
+        new, counts = pseudonymise(text, F0)
+        assert counts == {kind: 1} and value not in new
+        assert new == text.replace(value, pseudonymise(value, F0)[0])
