@@ -52,3 +52,11 @@ def test_links(spark):
 
 def test_empty_table(spark):
     assert judge_pages(spark, pages(spark, [])).collect() == []
+
+
+def test_distrust_reaches_hosts_far_away(spark):
+    n = 30
+    seeds = spark.createDataFrame([("h0", 0.0, 1.0), ("x", 1.0, 0.0)], "host string, trust double, distrust double")
+    links = [(f"h{i + 1}", f"h{i}", 1) for i in range(n)]
+    got = {r.host: r.distrust for r in propagate(spark, seeds, spark.createDataFrame(links, "src string, dst string, n long")).collect()}
+    assert all(np.isclose(got[f"h{i}"], 0.15 * 0.85**i, rtol=1e-5, atol=0) for i in range(n + 1))
