@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def components(spark: SparkSession, links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -16,14 +16,16 @@ def components(spark: SparkSession, links: DataFrame, rounds: int | None = None)
     is one row for each task; the joins split skewed keys. Each round is written to the shared folder. With
     `rounds` it stops after so many: a component is then some node that the node reaches, the least one or not.
     """
-    edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    before = None
+    edges, last, before = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None, None
     for i in range(rounds or 60):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         larger = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         joined = larger.join(larger.groupBy("u").agg(F.min("v").alias("m")), "u")
         edges = written(spark, joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "round")
+        if last is not None:
+            discard(spark, last)
+        last = edges
         if rounds is None and i:
             now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if now == before:

@@ -5,12 +5,12 @@
 2. Documents with equal sets become one class.
 3. A class is posted under its prefix: its rarest shingles, as many as must hold one that it shares with any
    partner. Postings carry the set's size and the shingle's position for the length and positional filters.
-4. While the pairs of postings with a common shingle are far more than the postings, a star join pairs each
-   posting with one of its shingle only: at most as many pairs as postings, which gathers a large group of
-   near copies around a few of its members. Then all pairs that aren't known to be connected are taken, so
-   no link between components is lost, and a group of copies doesn't yield all its pairs.
-5. Pairs are made distinct, pass a suffix filter (a bitmap of each set's hashes: bits that only one of two sets has
-   bound what they share), and are verified once on the full sets. Connected components give the groups.
+4. A star join pairs each class with one other of its prefix, the one with the fewest shingles of its own: of a
+   group of near copies that is the text they were made from, so one pair a class gathers most of the group.
+5. All other pairs of postings that aren't known to be connected follow, so no link between components is
+   lost, and a group of copies doesn't yield all its pairs.
+6. Pairs are made distinct, pass a bitmap of each set's hashes (bits that only one of two sets has bound what they
+   share) and the suffix filter, and are verified once on the full sets. Connected components give the groups.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, WordHasher, mix, raw_text
-from .shared import NO_ID, bucketed, table, text_slices, written
+from .shared import NO_ID, bucketed, discard, fresh, table, text_slices, written
 from .sketch import RaritySketch, build
 
-#: Longs of the suffix filter's bitmap.
+#: Longs of a set's bitmap.
 _LONGS = 8
 _BITS = [f"b{i}" for i in range(_LONGS)]
 
@@ -58,13 +58,13 @@ def least_overlap(n):
 
 
 def _sets(size: int, sent):
-    """doc_id, n, and for documents that may have a partner the set's digest, its shingles (rare first) and how many of them are unique."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.binary()), ("alone", pa.int32()), ("tokens", pa.binary()), *((b, pa.int64()) for b in _BITS)])
+    """doc_id, mark, n, and for documents that may have a partner the set's digest, its shingles (rare first) and how many of them are unique."""
+    kind = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("node", pa.binary()), ("alone", pa.int32()), ("tokens", pa.binary()), *((b, pa.int64()) for b in _BITS)])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sketch = WordHasher(), sent()
         for batch in it:
-            ids = batch.column("doc_id")
+            ids, marks = batch.column("doc_id"), batch.column("mark")
             for begin, rows, h, row in shingle_sets(batch, hasher, size):
                 n = np.bincount(row, minlength=rows)
                 often = sketch.repeated(h)
@@ -83,37 +83,56 @@ def _sets(size: int, sent):
                 bits = np.packbits(bits, axis=1).view(np.int64)
                 for i, (r, b) in enumerate(zip(row[edge].tolist(), edge.tolist(), strict=True)):
                     nodes[r], tokens[r] = digest[i].tobytes(), h[b : b + n[r]].tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, rows), pa.array(n, pa.int32()), pa.array(nodes, pa.binary()), pa.array(alone, pa.int32()), pa.array(tokens, pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(_LONGS))], schema=kind)
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, rows), marks.slice(begin, rows), pa.array(n, pa.int32()), pa.array(nodes, pa.binary()), pa.array(alone, pa.int32()), pa.array(tokens, pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(_LONGS))], schema=kind)
 
     return batches
 
 
-def _postings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token, node, n, pos: each class's prefix without the shingles that no other document has."""
-    for batch in it:
-        out, nodes, sizes, places = [], [], [], []
-        for node, n, alone, tokens in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("alone").to_pylist(), batch.column("tokens"), strict=True):
-            end = n - least_overlap(n) + 1
-            mine = np.frombuffer(tokens.as_buffer(), dtype=np.int64)[alone:end]
-            out.append(mine), nodes.extend([node] * len(mine)), sizes.append(np.full(len(mine), n, np.int32)), places.append(np.arange(alone, end, dtype=np.int32))
-            if sum(map(len, out)) > 200_000:
-                yield _posted(out, nodes, sizes, places)
-                out, nodes, sizes, places = [], [], [], []
-        if out:
-            yield _posted(out, nodes, sizes, places)
+def _postings(extra: tuple[str, ...]):
+    """token, node, n, pos and the class's columns `extra`: each class's prefix without the shingles that no other document has."""
+
+    def posted(out: list[np.ndarray], places: list[np.ndarray], batch: pa.RecordBatch, begin: int, end: int) -> pa.RecordBatch:
+        row = np.repeat(np.arange(begin, end), [len(x) for x in out])
+        own = batch.select(["node", "n", *extra]).take(pa.array(row))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64()), *own.columns, pa.array(np.concatenate(places), pa.int32())], names=["token", "node", "n", *extra, "pos"])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out, places, begin, held = [], [], 0, 0
+            for i, (n, alone, tokens) in enumerate(zip(batch.column("n").to_pylist(), batch.column("alone").to_pylist(), batch.column("tokens"), strict=True)):
+                end = n - least_overlap(n) + 1
+                out.append(np.frombuffer(tokens.as_buffer(), dtype=np.int64)[alone:end]), places.append(np.arange(alone, end))
+                held += len(out[-1])
+                if held > 200_000:
+                    yield posted(out, places, batch, begin, i + 1)
+                    out, places, begin, held = [], [], i + 1, 0
+            if out:
+                yield posted(out, places, batch, begin, batch.num_rows)
+
+    return batches
 
 
-def _posted(out, nodes, sizes, places) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(out), pa.int64()), "node": pa.array(nodes, pa.binary()), "n": pa.array(np.concatenate(sizes)), "pos": pa.array(np.concatenate(places))})
+def fewest_apart(x: np.ndarray, y: np.ndarray, depth: int) -> int:
+    """At least how many values only one of two ascending arrays has: the suffix filter, which cuts both at the middle of one and compares the sizes of the parts."""
+    if not depth or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    middle = len(y) // 2
+    at = int(np.searchsorted(x, y[middle]))
+    found = int(at < len(x) and x[at] == y[middle])
+    return fewest_apart(x[:at], y[:middle], depth - 1) + fewest_apart(x[at + found :], y[middle + 1 :], depth - 1) + 1 - found
 
 
 def _verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         keep = []
         for x, y in zip(batch.column("tx"), batch.column("ty"), strict=True):
-            x, y = (np.frombuffer(t.as_buffer(), dtype=np.int64) for t in (x, y))
+            x, y = (np.sort(np.frombuffer(t.as_buffer(), dtype=np.int64)) for t in (x, y))
+            total = len(x) + len(y)
+            if 9 * fewest_apart(x, y, 3) > total:  # sets that link share 4 of 9 of their sizes' sum at least
+                keep.append(False)
+                continue
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= 80 * (len(x) + len(y) - both))
+            keep.append(100 * both >= 80 * (total - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -124,7 +143,7 @@ def _may_reach(na, nb, a: list, b: list):
 
 
 def _links(spark: SparkSession, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those that reach the threshold. `classes` is bucketed by node, so only pairs move, and of sets those of pairs left by the filter."""
+    """Of distinct pairs (a, b) those that reach the threshold. `classes` is bucketed by node, so only pairs move, and of sets those of pairs left by the bitmaps."""
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *[F.col(c).alias(s + c) for c in _BITS])
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_reach(F.col("na"), F.col("nb"), *([F.col(s + c) for c in _BITS] for s in "ab"))).select("a", "b")
     text = lambda s, t: classes.select(F.col("node").alias(s), F.col("tokens").alias(t))
@@ -142,18 +161,15 @@ def _possible(a: str, b: str):
     return _long_enough(a, b) & (9 * (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))) >= 4 * (n + m))
 
 
-def _open_pairs(open_: DataFrame) -> int:
-    """How many pairs of postings have a shingle in common and aren't known to be connected."""
-    sizes = open_.groupBy("token", "component").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-    return int(sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
-
-
-def _star_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Each posting with one of its shingle, of another component. Shingles are in 16 kinds that each prefer other classes, so a class meets up to 16 in a turn."""
-    key = F.xxhash64("node", F.pmod("token", F.lit(16)), F.lit(turn)).alias("key")
-    hubs = open_.groupBy("token").agg(F.min(F.struct(key, "node", "n", "pos", "component")).alias("hub"))
-    star = open_.alias("x").join(hubs, "token").where((F.col("x.component") != F.col("hub.component")) & _long_enough("x", "hub"))
-    return star.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
+def _star_pairs(spark: SparkSession, posted: DataFrame) -> DataFrame:
+    """One pair for each class: with the class that, of those first under any of its shingles, has the smallest share of shingles of its own."""
+    hub = F.struct((F.col("alone") / F.col("n")).alias("odd"), F.xxhash64("node").alias("any"), "node", "n", "pos")
+    hubs = written(spark, posted.groupBy("token").agg(F.count("*").alias("k"), F.min(hub).alias("hub")).where("k > 1").drop("k"), "hubs")
+    met = posted.alias("x").join(hubs, "token").where((F.col("x.node") != F.col("hub.node")) & _possible("x", "hub"))
+    best = met.groupBy("node").agg(F.min("hub").alias("hub"))
+    star = written(spark, best.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "star")
+    discard(spark, hubs)
+    return star
 
 
 def _all_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
@@ -164,7 +180,7 @@ def _all_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_bits: int = 27, rounds: int = 1) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text).
 
     A-Z are lower-cased and words are `[^\\x20\\x09-\\x0D]+`. A set holds the distinct shingles of `size` words; with fewer
@@ -175,7 +191,13 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_b
     rows link if they have words. Texts are read whole. An empty table gives an empty result; other columns
     don't matter.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    out = _groups(spark, docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.lit(0).cast("long").alias("mark"), "text"), **how)
+    shown = lambda c: F.nullif(c, F.lit(NO_ID))
+    return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown(F.col("component_id")).alias("component_id"))
+
+
+def _groups(spark: SparkSession, rows: DataFrame, size: int = 5, sketch_bits: int = 27) -> DataFrame:
+    """doc_id, mark, n, component_id for each of `rows` (doc_id, mark, text), of which text alone may be null."""
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         hasher = WordHasher()
@@ -184,39 +206,43 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, sketch_b
                 yield h
 
     sent = build(rows.select("text"), keys, lambda: RaritySketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism)  # 2^sketch_bits / 2 + 2^24 bytes at any size of the input
-    sets = written(spark, rows.mapInArrow(_sets(size, sent), "doc_id long, n int, node binary, alone int, tokens binary, " + ", ".join(f"{b} long" for b in _BITS)), "sets")
-    live = sets.where("node is not null")
-    classes = live.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "alone", "tokens", *_BITS)])
+    sets = written(spark, rows.mapInArrow(_sets(size, sent), "doc_id long, mark long, n int, node binary, alone int, tokens binary, " + ", ".join(f"{b} long" for b in _BITS)), "sets")
+    classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "alone", "tokens", *_BITS)])
     classes = bucketed(spark, classes, "node", "classes")
-    posted = written(spark, classes.select("node", "n", "alone", "tokens").mapInArrow(_postings, "token long, node binary, n int, pos int"), "postings")
-
-    several = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    open_ = written(spark, posted.join(several, "token", "left_semi").withColumn("component", F.col("node")), "shared")
-    links, n_shared = None, open_.count()
-    for turn in range(rounds):
-        if _open_pairs(open_) <= 8 * n_shared + 10_000:
-            break
-        found = _links(spark, _star_pairs(open_, turn), classes)
-        links = found if links is None else links.unionByName(found)
-        label = components(spark, links, rounds=2)  # needs to join only what is connected, not all that is
-        named = open_.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("token")
-        open_ = written(spark, named.join(mixed, "token", "left_semi").select(*open_.columns), "open")
-    found = _links(spark, _all_pairs(open_, classes), classes)
-    label = components(spark, found if links is None else links.unionByName(found))
+    names = written(spark, sets.select("doc_id", "mark", "n", "node"), "names")
+    discard(spark, sets)
+
+    posted = written(spark, classes.select("node", "n", "alone", "tokens").mapInArrow(_postings(("alone",)), "token long, node binary, n int, alone int, pos int"), "postings")
+    star = _star_pairs(spark, posted)
+    discard(spark, posted)
+    links = _links(spark, star, classes)
+    label = components(spark, links, rounds=2)  # needs to join only what is connected, not all that is
+    of = classes.select("node", "n", "alone", "tokens").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    posted = written(spark, of.mapInArrow(_postings(("component",)), "token long, node binary, n int, component binary, pos int"), "postings")
+    mixed = posted.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("token")
+    mixed = written(spark, mixed, "mixed")
+    open_ = written(spark, posted.join(mixed, "token", "left_semi"), "open")
+    discard(spark, posted, mixed)
+    found = _links(spark, _all_pairs(open_, classes).join(star, ["a", "b"], "left_anti"), classes)
+    discard(spark, open_)
+    label = components(spark, links.unionByName(found))
 
     of = classes.select("node", "first_id").join(label, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
-    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    least = written(spark, of.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")  # a table of its own, so that the join may split a large component
     named = of.join(least, "component").select("node", "component_id")
-    out = sets.select("doc_id", "n", "node").join(named, "node", "left")
-    shown = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return names.join(named, "node", "left").select("doc_id", "mark", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` whose doc_id is their component's, so one document of each group; all columns are kept. doc_id must be unique; rows without one stay."""
-    out = similar_groups(spark, docs.where("doc_id is not null"), **how).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(out, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of `docs` whose doc_id is their component's, so one document of each group; all columns are kept.
+
+    Rows without a doc_id stay. Rows that share one are judged each by its text; repeated rows (same doc_id and text) stay or go together.
+    """
+    mark = lambda text: F.xxhash64(F.coalesce(text, F.lit("")))
+    out = _groups(spark, docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), mark(F.col("text")).alias("mark"), "text"), **how)
+    at, of = fresh(docs, "gone_id"), fresh(docs, "gone_mark")
+    gone = out.where("doc_id != component_id").select(F.col("doc_id").alias(at), F.col("mark").alias(of)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(at)) & (mark(F.col("text")) == F.col(of)), "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

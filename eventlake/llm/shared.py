@@ -72,13 +72,33 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lost executors can read it again, and no later plan recomputes it."""
     with small_batches(spark):
         df.write.parquet(path := shared_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables from written() that nothing will read again, so that what is superseded takes no disk."""
+    for df in tables:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bucketed(spark: SparkSession, df: DataFrame, column: str, name: str) -> DataFrame:
-    """`df` written to the shared folder in buckets of `column`, so that joins on it don't shuffle it again. The catalog entry is dropped at once; the files stay."""
+    """`df`, grouped by `column` alone just before, written to the shared folder in buckets of it, so that joins on it don't shuffle it again.
+
+    The groups are dealt as buckets are, so each bucket is written by one task. The catalog entry is dropped at once; the files stay.
+    """
     n, label = int(spark.conf.get("spark.sql.shuffle.partitions")), f"eventlake_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("path", shared_path(spark, name)).saveAsTable(label, format="parquet")
+    df.write.bucketBy(n, column).sortBy(column).option("path", shared_path(spark, name)).saveAsTable(label, format="parquet")
     out = spark.table(label)
     out.schema  # resolved while the entry is there
     spark.sql(f"DROP TABLE {label}")

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 from corpus import awkward, documents
 
 from eventlake.llm.components import components
-from eventlake.llm.jaccard_join import one_of_each, similar_groups
+from eventlake.llm.jaccard_join import fewest_apart, one_of_each, similar_groups
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -68,6 +69,34 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id or 0 for r in one_of_each(spark, docs, sketch_bits=10).collect()) == [0, 1, 2, 4, 5]
 
 
+def test_a_common_line_and_a_large_group(spark):
+    dice = random.Random(4)
+    line, base = " ".join(f"L{i}" for i in range(30)), [f"b{i}" for i in range(60)]
+    rows = [(i, f"{line} " + " ".join(f"u{dice.randrange(10**6)}" for _ in range(4))) for i in range(40)]
+    for i in range(60):
+        words = list(base)
+        for at in dice.sample(range(60), dice.randrange(0, 3)):
+            words[at] = f"x{dice.randrange(10**6)}"
+        rows.append((100 + i, " ".join(words)))
+    got = similar_groups(spark, documents(spark, rows).repartition(4), sketch_bits=14).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_suffix_filter_never_overestimates():
+    dice = np.random.default_rng(5)
+    for _ in range(300):
+        x, y = (np.unique(dice.integers(0, 60, dice.integers(0, 40))) for _ in range(2))
+        apart = len(np.setxor1d(x, y))
+        assert all(fewest_apart(x, y, depth) <= apart for depth in range(5))
+        assert fewest_apart(x, y, 10) == apart
+
+
+def test_one_of_each_with_shared_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 0), (2, "a b c d e f", 1), (2, "g h i j k l", 2), (1, "a b c d e f", 3)], "doc_id long, text string, gone_id int").withColumnRenamed("gone_id", "GONE_ID")
+    docs = docs.withColumn("gone_mark", docs.text)
+    assert sorted(r.GONE_ID for r in one_of_each(spark, docs, sketch_bits=10).collect()) == [0, 2, 3]
+
+
 def test_empty_table(spark):
     assert similar_groups(spark, documents(spark, []), sketch_bits=10).collect() == []
 
