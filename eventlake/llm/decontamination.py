@@ -18,61 +18,61 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, table, written
+from .shared import BLANKS, fresh, table, written
 
 #: Words of units, lower-case.
 UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds lb lbs ml l liter liters litre litres "
          "second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degrees").split()
+#: Words of a text whose windows are cut from one row.
+_PIECE = 256
+SLOTS = ("<n>", "<name>", "<unit>")
 _NUMBER = r"^[+-]?[$€£]?\d[\d.,:/]*%?$"
 _NAME = r"^\p{Lu}\p{Ll}+$"
 _PUNCTUATION = "\"'`´’‘“”«»()[]{}<>.,;:!?…*_~#|/\\=&"
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once; a name in a projection would be put in place for each use."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def words_of(text: Column) -> Column:
     """The words, without punctuation around them; words of punctuation only are left out."""
     bare = F.transform(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), lambda w: F.trim(w, F.lit(_PUNCTUATION)))
     return F.filter(bare, lambda w: w != "")
 
 
+def _typed(word: Column, slot, other: Column) -> Column:
+    """slot(kind) for a number, name or unit, else `other`."""
+    return F.when(word.rlike(_NUMBER), slot("<n>")).when(word.rlike(_NAME), slot("<name>")).when(F.lower(word).isin(UNITS), slot("<unit>")).otherwise(other)
+
+
 def canonical(word: Column) -> Column:
     """<n>, <name> or <unit> for such a word, else the word in lower case."""
-    low = F.lower(word)
-    return F.when(word.rlike(_NUMBER), "<n>").when(word.rlike(_NAME), "<name>").when(low.isin(UNITS), "<unit>").otherwise(low)
+    return _typed(word, F.lit, F.lower(word))
 
 
 def _is_slot(canon: Column) -> Column:
-    return canon.isin("<n>", "<name>", "<unit>")
+    return canon.isin(*SLOTS)
 
 
 def _windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, words, pos and hash: for each window of as many words as `sizes` lists a row for its template and, where that has placeholders, one for its words in lower case.
+    """key, words, at, pos and hash: for each window of as many words as `sizes` lists a row for its template and, where that has placeholders, one for its words in lower case.
 
-    A template of placeholders only has no row.
+    A template of placeholders only has no row. Words are coded once each. Windows become rows whose hashes are
+    compiled expressions on pieces of the codes, cut with an overlap, so no row holds more than a piece of a long
+    text: `words` is the window's piece, and pos its place in the text, of which `at` stand before the piece. The
+    outer explodes keep Spark from coding all words a second time for a filter on the arrays' sizes.
     """
-    masks = {"<n>": -1, "<name>": -2, "<unit>": -3}
-    low = lambda w: F.xxhash64(F.lower(w)).bitwiseAND(F.lit(2**63 - 1))
-    typed = lambda w: let(canonical(w), lambda c: F.coalesce(*[F.when(c == k, F.lit(v).cast("long")) for k, v in masks.items()], F.xxhash64(c).bitwiseAND(F.lit(2**63 - 1))))
-
-    def hashed(both: Column) -> Column:
-        canon, plain = both.canon, both.plain
-        n = F.size(canon)
-        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        out = []
-        for size in sizes:
-            of = lambda a, i, size=size: [F.get(a, i + k) for k in range(size)]
-            whole = lambda i, size=size: i <= n - size
-            out.append(F.transform(at, lambda i: F.when(whole(i) & (F.greatest(F.lit(-9), *of(canon, i)) >= 0), F.xxhash64(*of(canon, i)))))
-            out.append(F.transform(at, lambda i: F.when(whole(i) & (F.least(F.lit(9), *of(canon, i)) < 0), F.xxhash64(*of(plain, i)))))
-        return F.concat(*out)
-
+    code = lambda w: F.xxhash64(F.lower(w)).bitwiseAND(F.lit(2**63 - 1))
+    slot = lambda kind: F.lit(-1 - SLOTS.index(kind)).cast("long")
     split = df.select(key, words_of(F.col("text")).alias("words"))
-    split = split.select(key, "words", F.posexplode(let(F.struct(F.transform("words", typed).alias("canon"), F.transform("words", low).alias("plain")), hashed)).alias("at", "hash"))
-    return split.where("hash is not null").select(key, "words", (F.col("at") % F.size("words")).alias("pos"), "hash")
+    split = split.select(key, "words", F.transform("words", lambda w: _typed(w, slot, code(w))).alias("canon"), F.transform("words", code).alias("plain"))
+    cut = lambda i: F.struct(i.alias("at"), *[F.slice(c, i + 1, _PIECE + max(sizes) - 1).alias(c) for c in ("words", "canon", "plain")])
+    pieces = split.select(key, F.inline_outer(F.transform(F.when(F.size("plain") > 0, F.sequence(F.lit(0), F.size("plain") - 1, F.lit(_PIECE))), cut)))
+    rows = pieces.select(key, "at", "words", "canon", "plain", F.posexplode_outer("plain").alias("in", "first")).where(F.col("in") < _PIECE)
+    out = []
+    for size in sizes:
+        of = lambda a, size=size: [F.get(F.col(a), F.col("in") + k) for k in range(size)]
+        whole = F.col("in") <= F.size("words") - size
+        out.append(F.when(whole & (F.greatest(F.lit(-9), *of("canon")) >= 0), F.xxhash64(*of("canon"))))
+        out.append(F.when(whole & (F.least(F.lit(9), *of("canon")) < 0), F.xxhash64(*of("plain"))))
+    return rows.select(key, "words", "at", (F.col("at") + F.col("in")).alias("pos"), F.explode(F.array(*out)).alias("hash")).where("hash is not null")
 
 
 def _consistent(found: DataFrame) -> DataFrame:
@@ -108,7 +108,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
     n_words = F.size(words_of(F.col("text")))
     shorter = sorted(r[0] for r in items.select(n_words.alias("n")).where((F.col("n") > 0) & (F.col("n") < size)).distinct().collect())
-    cut = lambda of, n: _windows(of, "item_id", [n]).select("item_id", F.col("pos").alias("ipos"), "hash", F.slice("words", F.col("pos") + 1, n).alias("theirs"))
+    window = lambda n: F.slice("words", F.col("pos") - F.col("at") + 1, n)
+    cut = lambda of, n: _windows(of, "item_id", [n]).select("item_id", F.col("pos").alias("ipos"), "hash", window(n).alias("theirs"))
     wanted = reduce(DataFrame.unionByName, [cut(items, size), *(cut(items.where(n_words == n), n) for n in shorter)])
     wanted = wanted.withColumn("typed", ~F.forall("theirs", lambda w: _is_slot(canonical(w)))).withColumn("any", F.max("typed").over(Window.partitionBy("item_id")))
     wanted = wanted.where(F.col("typed") | ~F.col("any")).drop("typed", "any")
@@ -117,19 +118,22 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
     side = F.broadcast(wanted) if n_wanted <= most_broadcast else wanted
     held = _windows(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", [size, *shorter])
     # the words of a window are cut out after the join, so they are copied for matches only
-    found = held.join(side, "hash").select("doc_id", "item_id", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.slice("words", F.col("pos") + 1, F.size("theirs")).alias("ours"), "theirs")
+    found = held.join(side, "hash").select("doc_id", "item_id", "n_windows", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), window(F.size("theirs")).alias("ours"), "theirs")
     # consistency only takes windows away, so what has too few before is done
     enough = F.size(F.collect_set("ipos").over(Window.partitionBy("doc_id", "item_id"))) / F.col("n_windows") >= share
     found = written(spark, found.distinct().withColumn("enough", enough).where("enough").drop("enough"), "found")
+    same = lambda form: F.transform("ours", form) == F.transform("theirs", form)
+    found = found.where(same(canonical) | same(F.lower))  # a hash alone proves nothing
     got = _consistent(found).groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("ipos").alias("n_found"))
     out = got.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= share)
     return out.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_found").cast("long").alias("n_found"), "coverage")
 
 
 def clean_rows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of `docs`, with all columns, that hold no benchmark item; rows without a doc_id stay."""
-    gone = contaminated(spark, docs, benchmark, **how).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of `docs`, with all columns, that hold no benchmark item; rows without a doc_id stay. Of rows that share one, all go if one does."""
+    at = fresh(docs, "gone_id")
+    gone = contaminated(spark, docs, benchmark, **how).select(F.col("doc_id").alias(at)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(at), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 from corpus import documents
+from pyspark.sql import functions as F
 
 from eventlake.llm.decontamination import UNITS, clean_rows, contaminated
 
@@ -80,6 +81,12 @@ def test_clean_rows(spark):
     assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 3, 4, 5, 6, 8, 9, 11]
 
 
+def test_clean_rows_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, ITEMS[1][1], 7), (2, "clean", 8), (None, ITEMS[1][1], 9)], "doc_id long, text string, gone_id int").withColumn("_gone", F.lit(1)).withColumn("words", F.col("text"))
+    left = clean_rows(spark, docs, spark.createDataFrame(ITEMS[1:2], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r["gone_id"] for r in left.collect()) == [8, 9]
+
+
 def test_empty_tables(spark):
     table = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(spark, documents(spark, corpus()), table).collect() == []
