@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import release, small_batches
+from .shared import discard, release, written
 
 U = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -104,8 +104,8 @@ def build(keys: DataFrame, batches_of_keys, make, tasks: int) -> Callable[[], Sk
     """The merged sketch, `make()` when empty, of all keys that `batches_of_keys(iterator)` yields over each partition; as a function that loads it on an executor.
 
     At most `tasks` partitions build a sketch of fixed size each; their parts are merged on the executors, one
-    part of 1/32 of a row at a time. Only the merged parts, compressed, come to the driver, and are broadcast:
-    no more than the sketch's size, which `make` bounds, whatever the input's.
+    part of 1/32 of a row at a time, into a table. Only the merged parts, compressed, come to the driver, a file's at
+    a time, and are broadcast: no more than the sketch's size, which `make` bounds, whatever the input's.
     """
 
     def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,13 +130,11 @@ def build(keys: DataFrame, batches_of_keys, make, tasks: int) -> Callable[[], Sk
     kind = "part int, body binary"
     merging = min(2 * _PARTS, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = keys.coalesce(tasks).mapInArrow(own, kind).repartition(merging, "part").sortWithinPartitions("part").mapInArrow(sums, kind)
-    with small_batches(keys.sparkSession):
-        rows, held = parts.collect(), []
-    while rows:
-        number, body = rows.pop()
-        held.append((number, bytes(body)))
+    merged = written(keys.sparkSession, parts, "sketch")
+    held = [(r.part, bytes(r.body)) for r in merged.toLocalIterator()]  # a few parts at a time
+    discard(keys.sparkSession, merged)
     sent = keys.sparkSession.sparkContext.broadcast(held)
-    del rows, held
+    del held
     release()
 
     def load() -> Sketch:
