@@ -230,7 +230,8 @@ def _groups(spark: SparkSession, rows: DataFrame, size: int = 5, sketch_bits: in
     of = classes.select("node", "first_id").join(label, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = written(spark, of.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")  # a table of its own, so that the join may split a large component
     named = of.join(least, "component").select("node", "component_id")
-    return names.join(named, "node", "left").select("doc_id", "mark", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = names.where("node is null").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"))  # kept out of the join, whose one task they would all go to
+    return names.join(named, "node").select("doc_id", "mark", "n", "component_id").unionByName(alone)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
