@@ -11,6 +11,7 @@ apart by the bytes themselves.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,16 +54,17 @@ class StreamingDeduper:
             F.col("doc_id").cast("long").alias("doc_id"),
             self.digest(normalised(F.col("text"))).alias("digest"),
             F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
-            F.concat_ws("-", F.uuid(), F.monotonically_increasing_id()).alias("_mark"),
+            F.lit(uuid.uuid4().int >> 65).alias("ingest"),
+            F.monotonically_increasing_id().alias("rid"),
             row.alias("row"),
-        ).withColumn("rid", F.xxhash64("_mark")).drop("_mark")
+        )
         store.write.mode("append").parquet(f"{self.root}/store")
         self.schema = store.schema
         self._advance()
 
     def _advance(self) -> None:
         new = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.root}/store")
-        keeper = F.struct(_rank(F.col("n_points"), F.col("doc_id"), F.col("rid")).alias("rank"), F.col("doc_id"), F.col("rid"), F.col("_metadata.file_path").alias("file"))
+        keeper = F.struct(_rank(F.col("n_points"), F.col("doc_id"), F.col("rid")).alias("rank"), F.col("doc_id"), F.col("ingest"), F.col("rid"), F.col("_metadata.file_path").alias("file"))
         state = new.groupBy("digest").agg(F.count("*").alias("n"), F.max(keeper).alias("keeper"))
         before = {k: self.spark.conf.get(k, None) for k in _CONF}
         for k, v in _CONF.items():
@@ -79,9 +81,9 @@ class StreamingDeduper:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/store")
 
     def state(self) -> DataFrame:
-        """digest, n, keep_id, keep_rid, file: the latest entry of each digest."""
+        """digest, n, keep_id, keep_ingest, keep_rid, file: the latest entry of each digest."""
         last = self.spark.read.parquet(f"{self.root}/state").groupBy("digest").agg(F.max(F.struct("batch", "n", "keeper")).alias("s"))
-        return last.select("digest", F.col("s.n").alias("n"), F.col("s.keeper.doc_id").alias("keep_id"), F.col("s.keeper.rid").alias("keep_rid"), F.col("s.keeper.file").alias("file"))
+        return last.select("digest", F.col("s.n").alias("n"), F.col("s.keeper.doc_id").alias("keep_id"), F.col("s.keeper.ingest").alias("keep_ingest"), F.col("s.keeper.rid").alias("keep_rid"), F.col("s.keeper.file").alias("file"))
 
     def unequal(self) -> DataFrame:
         """The digests of more than one normalised text, found by comparing the full bytes of all hits."""
@@ -91,21 +93,24 @@ class StreamingDeduper:
         return body.groupBy("of").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a != b").select(F.col("of").alias("digest"))
 
     def groups(self) -> DataFrame:
-        """A row for each stored row: rid, doc_id, digest, keep_id, keep_rid, group_size."""
-        rows, state = self.store().select("rid", "doc_id", "digest"), self.state()
+        """A row for each stored row: ingest, rid (together the row's identity), doc_id, digest, keep_id, kept, group_size."""
+        own = ["ingest", "rid", "doc_id"]
+        shown = lambda df, n: df.select(*own, "digest", "keep_id", ((F.col("ingest") == F.col("keep_ingest")) & (F.col("rid") == F.col("keep_rid"))).alias("kept"), F.col(n).alias("group_size"))
+        rows, state = self.store().select(*own, "digest"), self.state()
         bad = self.unequal()
         if bad.isEmpty():
-            return rows.join(state, "digest").select("rid", "doc_id", "digest", "keep_id", "keep_rid", F.col("n").alias("group_size"))
-        good = rows.join(bad, "digest", "left_anti").join(state, "digest").select("rid", "doc_id", "digest", "keep_id", "keep_rid", F.col("n").alias("group_size"))
-        split = self.store().join(bad, "digest", "left_semi").select("rid", "doc_id", "digest", "n_points", normalised(F.col("row.text")).alias("body"))
-        keeper = F.struct(_rank(F.col("n_points"), F.col("doc_id"), F.col("rid")).alias("rank"), F.col("doc_id"), F.col("rid"))
-        own = split.groupBy("digest", "body").agg(F.count("*").alias("group_size"), F.max(keeper).alias("k")).select("digest", "body", "group_size", F.col("k.doc_id").alias("keep_id"), F.col("k.rid").alias("keep_rid"))
-        return good.unionByName(split.join(own, ["digest", "body"]).select("rid", "doc_id", "digest", "keep_id", "keep_rid", "group_size"))
+            return shown(rows.join(state, "digest"), "n")
+        good = shown(rows.join(bad, "digest", "left_anti").join(state, "digest"), "n")
+        split = self.store().join(bad, "digest", "left_semi").select(*own, "digest", "n_points", normalised(F.col("row.text")).alias("body"))
+        keeper = F.struct(_rank(F.col("n_points"), F.col("doc_id"), F.col("rid")).alias("rank"), *own)
+        best = split.groupBy("digest", "body").agg(F.count("*").alias("group_size"), F.max(keeper).alias("k"))
+        best = best.select("digest", "body", "group_size", F.col("k.doc_id").alias("keep_id"), F.col("k.ingest").alias("keep_ingest"), F.col("k.rid").alias("keep_rid"))
+        return good.unionByName(shown(split.join(best, ["digest", "body"]), "group_size"))
 
     def kept(self) -> DataFrame:
         """The rows that stay, with the columns that were ingested."""
-        stay = self.groups().where("rid = keep_rid").select("rid")
-        return self.store().select("rid", "row").join(stay, "rid", "left_semi").select("row.*")
+        stay = self.groups().where("kept").select("ingest", "rid")
+        return self.store().select("ingest", "rid", "row").join(stay, ["ingest", "rid"], "left_semi").select("row.*")
 
 
 def dedup_groups(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
@@ -120,7 +125,7 @@ def dedup_groups(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     run.ingest(docs)
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
-    return run.groups().select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return run.groups().select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def dedup_rows(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
