@@ -109,7 +109,7 @@ def pack(spark: SparkSession, docs: DataFrame, lengths: tuple[int, ...] = LENGTH
     items = written(spark, items, "items")
     n_shards = max(1, -(-items.where(F.col("n") % most != 0).count() // shard_rows))
     whole = items.where(F.col("n") >= most).select("doc_id", "rid", F.explode(F.sequence(F.lit(0), (F.col("n") / most).cast("int") - 1)).alias("piece"))
-    whole = whole.select("doc_id", "piece", F.lit(most).alias("n_tokens"), F.bitwise_not(F.xxhash64("rid", "piece").bitwiseAND(F.lit(2**63 - 1))).alias("bin_id"), F.lit(most).alias("capacity"), F.lit(0).alias("place"))
+    whole = whole.select("doc_id", "piece", F.lit(most).alias("n_tokens"), F.bitwise_not(F.monotonically_increasing_id()).alias("bin_id"), F.lit(most).alias("capacity"), F.lit(0).alias("place"))
     rest = items.where(F.col("n") % most != 0).select(
         F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int").alias("shard"), "doc_id", (F.col("n") / most).cast("int").alias("piece"), (F.col("n") % most).cast("int").alias("n_tokens"), "rid",
     )
