@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from math import prod
 
@@ -18,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, text_slices
 
 _ROUNDS = 10
+_LONGEST = 64  # a half has 151 bits at most, well below the 256 of a round
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email", "key")
@@ -58,7 +60,9 @@ class Feistel:
         return str(self.within(f"{kind}{n}", int(value), 10 ** (n // 2), half, lambda x: valid(str(x).zfill(n)), back)).zfill(n)
 
     def symbols(self, kind: str, value: str, back: bool = False) -> str:
-        """Each letter and digit stays one of its alphabet; other characters stay as they are."""
+        """Each letter and digit stays one of its alphabet; other characters stay as they are. Values longer than any real one are permuted piece by piece, in time that grows with their length."""
+        if len(value) > _LONGEST:
+            return "".join(self.symbols(f"{kind}{i}/", value[i : i + _LONGEST], back) for i in range(0, len(value), _LONGEST))
         own = [(a, a.index(c)) for c in value for a in _ALPHABETS if c in a]
         if not own:
             return value
@@ -102,7 +106,8 @@ def _phone(f: Feistel, text: str, back: bool) -> str | None:
     sound = (lambda x: x[0] >= "2" and x[3] >= "2") if len(d) == 10 else (lambda x: x[0] != "0" or d[0] == "0")
     if not sound(d):
         return None
-    return text[:start] + _fill(text[start:], iter(f.digits("phone" + text[:start] + ("0" if d[0] == "0" and len(d) != 10 else ""), d, sound, back)))
+    code = "" if text[:start] == "+1" and len(d) == 10 else text[:start]  # with and without it, a number stays the same
+    return text[:start] + _fill(text[start:], iter(f.digits("phone" + code + ("0" if d[0] == "0" and len(d) != 10 else ""), d, sound, back)))
 
 
 def _ssn_sound(d: str) -> bool:
@@ -180,16 +185,19 @@ _NUMBERS = (
 _RUN = re.compile(r"[0-9+(][0-9 ().:/+-]*[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA([A-Z0-9]{16})(?![A-Za-z0-9])|(?:token|secret|api_?key|password)[\"']?[ ]?[=:][ ]?[\"']?([A-Za-z0-9]{16,})", re.IGNORECASE)
-_LOCAL, _HOST = re.compile(r"[A-Za-z0-9._%+-]+\Z"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 
 
 def _found(text: str, f: Feistel, back: bool) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, kind and pseudonym of each value."""
     at = text.find("@")
     while at >= 0:
-        local, host = _LOCAL.search(text, max(0, at - 64), at), _HOST.match(text, at + 1)
-        if local and host:
-            yield local.start(), host.end(), "email", _email(f, text[local.start() : host.end()], back)
+        start, host = at, _HOST.match(text, at + 1)
+        while host and start and text[start - 1] in _LOCAL:
+            start -= 1
+        if host and start < at:
+            yield start, host.end(), "email", _email(f, text[start : host.end()], back)
         at = text.find("@", at + 1)
     for m in _KEY.finditer(text):
         g = 1 if m[1] else 2
@@ -216,13 +224,14 @@ def _found(text: str, f: Feistel, back: bool) -> Iterator[tuple[int, int, str, s
 
 def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with all values replaced, and how many of each kind. Of overlapping values the one found first stands: e-mail, key, account, then as listed."""
-    taken, cuts, counts = [], [], {}
+    starts, cuts, counts = [], [], {}  # in order of place; what is taken doesn't overlap, so only neighbours matter
     for start, end, kind, new in _found(text, f, back):
-        if all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end)), cuts.append((start, end, new))
+        i = bisect(starts, start)
+        if (not i or cuts[i - 1][1] <= start) and (i == len(starts) or end <= starts[i]):
+            starts.insert(i, start), cuts.insert(i, (start, end, new))
             counts[kind] = counts.get(kind, 0) + 1
     out, at = [], 0
-    for start, end, new in sorted(cuts):
+    for start, end, new in cuts:
         out += [text[at:start], new]
         at = end
     return "".join([*out, text[at:]]), counts
@@ -239,12 +248,13 @@ def protect(docs: DataFrame, key: bytes) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
         for batch in it:
-            texts, kinds = [], []
-            for text in batch.column("text").to_pylist():
-                new, counts = pseudonymise(text, f) if text else (text, {})
-                texts.append(new), kinds.append(list(counts.items()))
-            n = [sum(v for _, v in k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(kinds, pa.map_(pa.string(), pa.int32()))], names=["doc_id", "text", "n_found", "kinds"])
+            for begin, end in text_slices(batch, "text"):
+                part, texts, kinds = batch.slice(begin, end - begin), [], []
+                for text in part.column("text").to_pylist():
+                    new, counts = pseudonymise(text, f) if text else (text, {})
+                    texts.append(new), kinds.append(list(counts.items()))
+                n = [sum(v for _, v in k) for k in kinds]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(kinds, pa.map_(pa.string(), pa.int32()))], names=["doc_id", "text", "n_found", "kinds"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, text string, n_found int, kinds map<string,int>")
 

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 from corpus import documents
@@ -81,3 +82,19 @@ def test_failed_candidates_hide_no_value():
         new, counts = pseudonymise(text, F0)
         assert counts == {kind: 1} and value not in new
         assert new == text.replace(value, pseudonymise(value, F0)[0])
+
+
+def test_phones_are_linked_with_and_without_country():
+    plain, long, dotted = (pseudonymise(v, F0)[0] for v in ("(303) 555-0188", "+1 (303) 555-0188", "303.555.0188"))
+    assert long == "+1 " + plain and "".join(filter(str.isdigit, plain)) == dotted.replace(".", "")
+
+
+def test_many_and_long_values():
+    begin = time.time()
+    text = " ".join(f"user{i}@mail.example.com" for i in range(8000))
+    new, counts = pseudonymise(text, F0)
+    assert counts == {"email": 8000} and pseudonymise(new, F0, back=True)[0] == text
+    long = "x" * 30000 + "@mail.example.com"
+    new, counts = pseudonymise(long, F0)
+    assert counts == {"email": 1} and "x" * 20 not in new and pseudonymise(new, F0, back=True)[0] == long
+    assert time.time() - begin < 60
