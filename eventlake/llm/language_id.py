@@ -22,34 +22,32 @@ from .shared import held_out, release, send, small_batches, table
 BITS = 16
 SIZE = 1 << BITS
 ORDERS = 3
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
 def _codes(text: str) -> np.ndarray:
-    """Lower-case code points; all that isn't a letter becomes a blank."""
+    """Lower-case code points; runs of digits, punctuation and blanks become one blank."""
     low = re.sub(r"[\W\d_]+", " ", f" {text} ").lower()
     return np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the text's character 1- to 3-grams that occur, ascending, and how often."""
-    code = _codes(text)
-    counts = np.zeros(SIZE, dtype=np.int64)
-    for n in range(1, ORDERS + 1):
-        if len(code) < n:
-            break
+    code, grams = _codes(text), []
+    for n in range(1, min(ORDERS, len(code)) + 1):
         mixed = np.full(len(code) - n + 1, n, dtype=np.uint32)
         for i in range(n):
             mixed = (mixed ^ code[i : len(code) - n + 1 + i]) * _MIX[i]
             mixed ^= mixed >> np.uint32(15)
-        counts += np.bincount(mixed >> np.uint32(32 - BITS), minlength=SIZE)
+        grams.append(mixed >> np.uint32(32 - BITS))
+    counts = np.bincount(np.concatenate(grams), minlength=SIZE)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character is a letter by Unicode: digits, fractions and number signs are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +207,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=names)
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_read"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_" + max(["read", *keep], key=len)))  # a name that is no other column's
     names = [*keep, "lang_pred", "score"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(batches, f"{kinds}, lang_pred string, score double")
