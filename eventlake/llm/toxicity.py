@@ -7,7 +7,6 @@ document labels alone, on a bounded sample of labelled rows, and then locate the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,25 +19,25 @@ from .shared import held_out, send, small_batches, table
 
 BITS = 18
 SIZE = 1 << BITS
-_SENTENCE = re.compile(r"[^.!?\n]+")
-_BLANK = np.array([not chr(i).isalpha() for i in range(0x3000)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
+#: Full stops, exclamation and question marks, also the ideographic ones, and line ends.
+_STOPS = np.array([ord(c) for c in ".!?\n\u3002\uff01\uff1f"])
 _ODD, _STEP = np.uint32(0x9E3779B1), np.uint32(0x01000193)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all words and of the first 4 and 5 letters of longer ones, and each one's sentence number.
 
-    Sentences end at `.`, `!`, `?` or a line end; words are runs of letters, lower-cased. Repeats of a
+    Sentences end at `.`, `!`, `?`, their ideographic forms or a line end; words are runs of letters, lower-cased. Repeats of a
     bucket in a sentence count once. A text without words has none.
     """
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = ~_BLANK[np.minimum(code, 0x2FFF)] | (code >= 0x3000)
+    letter = _LETTER[code]
     edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begin):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    stop = (code == 46) | (code == 33) | (code == 63) | (code == 10)
-    sentence = np.cumsum(stop)[begin]
+    sentence = np.cumsum(np.isin(code, _STOPS))[begin]
     size = end - begin
     hashed, out, of = np.full(len(begin), 0x811C9DC5, np.uint32), [], []
     live = np.arange(len(begin))
@@ -69,9 +68,10 @@ class Model:
         numbers, inverse = np.unique(of, return_inverse=True)
         return numbers, np.bincount(inverse, self.weights[at], minlength=len(numbers)) + self.bias
 
-    def score(self, text: str | None) -> float:
-        """Noisy-or over the sentences; without words 0."""
-        return float(-np.expm1(-np.logaddexp(0, self.sentences(text)[1]).sum()))
+    def score(self, text: str | None) -> tuple[float, int | None]:
+        """Noisy-or over the sentences, and the number of the one that offends most; without words 0 and none."""
+        numbers, z = self.sentences(text)
+        return float(-np.expm1(-np.logaddexp(0, z).sum())), int(numbers[z.argmax()]) if len(z) else None
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, l2: float = 1e-3, min_bags: int = 5, seed: int = 7) -> Model:
@@ -109,8 +109,9 @@ def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, **how) -> Model:
     """Learns from documents (doc_id, text) and labels (doc_id, toxic); rows with a null in any of these are left out.
 
-    sample_rows bounds the rows of each label that reach the driver; of more, those with the smallest hash
-    of their doc_id are taken. Repeated label rows count as one, the higher label first. Without usable rows,
+    sample_rows bounds the documents of each label that reach the driver; of more, those with the smallest hash
+    of their doc_id are taken. Repeated label rows count as one, the higher label first; of rows that share a doc_id the
+    text first in order is learned from. Without usable rows,
     or with one label only, everything scores near 0.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -121,23 +122,31 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, **how) ->
         return Model(np.zeros(SIZE), -8.0)
     picked = known.withColumn("key", key).where(F.col("key") < F.coalesce(*share))
     found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("key", "label", "text")  # bounded by sample_rows
+    found = found.groupBy("key", "label").agg(F.min("text").alias("text"))
     with small_batches(docs.sparkSession):
         rows = found.mapInArrow(_bag_batches, "key long, label int, at array<int>, of array<int>").toArrow().sort_by([("label", "ascending"), ("key", "ascending")])
     bags = [(np.asarray(rows["at"][i].values), np.asarray(rows["of"][i].values)) for i in range(len(rows))]
     return fit(bags, rows["label"].to_numpy(), **how)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and predicted for every whole text; null, empty and wordless texts score 0."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score, predicted and worst_sentence for every whole text; null, empty and wordless texts score 0.
+
+    worst_sentence is, of a text that reaches the threshold, the number of the sentence that offends most (its count of sentence ends before it), else null.
+    """
     sent = send(docs.sparkSession, model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent()
         for batch in it:
-            got = np.array([own.score(t.as_py()) for t in batch.column("text")], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            got = [own.score(t.as_py()) for t in batch.column("text")]
+            worst = [w if p >= threshold else None for p, w in got]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([p for p, _ in got], pa.float64()), pa.array([int(p >= threshold) for p, _ in got], pa.int32()), pa.array(worst, pa.int64())],
+                names=["doc_id", "score", "predicted", "worst_sentence"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, score double, predicted int, worst_sentence long")
 
 
 def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -160,4 +169,4 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out(F.col("doc_id"))))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "worst_sentence")
