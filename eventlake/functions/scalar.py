@@ -73,7 +73,10 @@ def safe_ratio(total: Column, n: Column) -> Column:
     return F.when(n > 0, total / n).otherwise(0.0)
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """sorted[int(n * p)], the last at most, of a column of numbers, as an aggregate without sorting them in one task's memory twice."""
-    n = F.count(values)
-    return F.get(F.sort_array(F.collect_list(values)), F.least(F.floor(n * p), n - 1).cast("int"))
+def bound_bytes(value: Column, kind: str) -> Column:
+    """A column's bound as files record it: big-endian two's complement, 8 bytes of a long or 4 of an int or date; texts as UTF-8."""
+    if kind == "string":
+        return value.cast("binary")
+    number = F.datediff(value, F.lit("1970-01-01").cast("date")) if kind == "date" else value
+    digits = {"long": 16, "int": 8, "date": 8}[kind]
+    return F.unhex(F.right(F.lpad(F.hex(number.cast("long")), 16, "0"), F.lit(digits)))

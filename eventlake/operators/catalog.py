@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
+from urllib.parse import quote
+
 from pyspark.sql import SparkSession
 
 from ..schema import check_table_name
@@ -61,6 +66,33 @@ class Catalog:
         LakeTable(self.spark, self.root, name).read().createOrReplaceTempView(view := name.replace("-", "_"))
         return view
 
+    def register_external(self, url: str, name: str, timeout_s: float = 10.0) -> str | None:
+        """Tells another catalog's REST service of the table and its current snapshot; None, or what went wrong. The lake doesn't depend on it.
+
+        The namespace and the table are created unless they are there; then the snapshot is added and made the branch main's.
+        """
+        table = LakeTable(self.spark, self.root, check_table_name(name))
+        doc, space = table.metadata(), f"{url.rstrip('/')}/v1/namespaces"
+        own = f"{space}/{quote(chr(31).join(self.levels), safe='')}/tables"
+
+        def post(path: str, body: dict, there_is_fine: bool) -> None:
+            request = urllib.request.Request(path, json.dumps(body).encode(), {"Content-Type": "application/json"}, method="POST")
+            try:
+                urllib.request.urlopen(request, timeout=timeout_s).close()
+            except urllib.error.HTTPError as e:
+                if not (there_is_fine and e.code == 409):
+                    raise
+
+        try:
+            post(space, {"namespace": self.levels, "properties": {}}, True)
+            post(own, {"name": name, "location": table.base, "schema": {"type": "struct", **doc["schemas"][0]}, "partition-spec": doc["partition-specs"][0], "write-order": doc["sort-orders"][0], "properties": {}}, True)
+            if snapshot := table.snapshot():
+                point = {"action": "set-snapshot-ref", "ref-name": "main", "type": "branch", "snapshot-id": snapshot["snapshot-id"]}
+                post(f"{own}/{name}", {"requirements": [], "updates": [{"action": "add-snapshot", "snapshot": snapshot}, point]}, False)
+        except OSError as e:
+            return str(e)
+        return None
+
     def drop(self, name: str) -> None:
         self.spark.catalog.dropTempView(name.replace("-", "_"))
 

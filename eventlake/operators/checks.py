@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .log import unused
+
 PART = ["topic", "partition"]
 # The bounds of the latency buckets in microseconds.
 LATENCY_BUCKETS = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 25000, 50000)
@@ -39,10 +41,39 @@ def gaps(log: DataFrame, width: int = 65_536) -> DataFrame:
     return both.where("sequence - after > 1").withColumn("missing", F.col("sequence") - F.col("after") - 1)
 
 
-def out_of_order(rows: DataFrame, place: str, value: str) -> DataFrame:
-    """Rows whose value is below one at an earlier place of their partition."""
-    before = F.max(value).over(Window.partitionBy(*PART).orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("highest_before", before).where(F.col(value) < F.col("highest_before"))
+def out_of_order(rows: DataFrame, place: str, value: str, width: int = 65_536) -> DataFrame:
+    """Rows whose value is below one at an earlier place of their partition, with `highest_before`.
+
+    The maximum runs within ranges of `width` of the integer column `place` and is carried from range to range, one row for each, so no partition is sorted in one task.
+    """
+    cut, carried = unused(rows, "range"), unused(rows, "carried")
+    ranged = rows.select("*", F.floor(F.col(place) / width).alias(cut))
+    tops = ranged.groupBy(*PART, cut).agg(F.max(value).alias(carried))
+    tops = tops.select(*PART, cut, F.max(carried).over(Window.partitionBy(*PART).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)).alias(carried))
+    inside = F.max(value).over(Window.partitionBy(*PART, cut).orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+    near = ranged.withColumn("highest_before", inside).join(tops, [*PART, cut]).withColumn("highest_before", F.greatest("highest_before", carried))
+    return near.where(F.col(value) < F.col("highest_before")).select(*rows.columns, "highest_before")
+
+
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, float], pieces: int = 64) -> DataFrame:
+    """sorted[int(n * p)], the last at most, of each group's values that aren't null: a column for each of `ranks`; null without values.
+
+    Groups are cut at sketched quantiles, ranges are counted, and only the range that holds a rank is sorted: exact, and no group is gathered in one task.
+    """
+    marks = [i / pieces for i in range(1, pieces)]
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, marks, F.lit(1000)).alias("cuts"), F.count(value).alias("n"))
+    place = F.size(F.filter("cuts", lambda c: c <= F.col("v")))
+    ranged = rows.select(*by, F.col(value).alias("v")).where("v is not null").join(cuts, by).select(*by, "v", place.alias("piece"))
+    sizes = ranged.groupBy(*by, "piece").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "piece", "held", before.alias("before"))
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1).alias("k")) for name, p in ranks.items()])
+    wanted = cuts.where("n > 0").select(*by, F.inline(each)).join(sizes, by).where("before <= k and k < before + held")
+    wanted = wanted.select(*by, "piece", "name", (F.col("k") - F.col("before") + 1).alias("row"))
+    numbered = ranged.join(wanted.select(*by, "piece").distinct(), [*by, "piece"], "left_semi")
+    numbered = numbered.withColumn("row", F.row_number().over(Window.partitionBy(*by, "piece").orderBy("v")))
+    found = numbered.join(wanted, [*by, "piece", "row"]).groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
+    return cuts.select(*by).join(found, by, "left")
 
 
 def uncovered(files: DataFrame, low: int, high: int) -> DataFrame:

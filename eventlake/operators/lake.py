@@ -9,6 +9,7 @@ names are never read, so a job that dies between writing and committing leaves n
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -33,6 +34,9 @@ _MANIFEST = (
     "event_date_min date, event_date_max date, event_hour_min int, event_hour_max int, ord bigint"
 )
 _MB = 1 << 20
+#: Tables that this process compacts now.
+_BUSY: set[str] = set()
+_LOCK = threading.Lock()
 
 
 class Conflict(Exception):
@@ -82,7 +86,7 @@ class LakeTable:
         )
         path = f"{self.base}/metadata/manifest-{uuid.uuid4().hex}.parquet"
         ordered = [c.split()[0] for c in _MANIFEST.split(", ")][:-1]
-        stats.withColumn("status", F.lit(ADDED)).select(*ordered).coalesce(1 if stats.limit(100_000).count() < 100_000 else 64).write.parquet(path)
+        stats.withColumn("status", F.lit(ADDED)).select(*ordered).write.parquet(path)
         out = self.spark.read.parquet(path)
         out.manifest_path = path
         return out
@@ -219,33 +223,50 @@ class LakeTable:
         return candidates(self.active(), policy)
 
     def compact(self, policy: CompactionPolicy = CompactionPolicy()) -> dict:
-        """Rewrites small files, sorted, and commits the replacement. The row set stays the same. Nothing to do is no error."""
+        """Rewrites small files as sorted files of about target_bytes, and commits the replacement. The row set stays the same. Nothing to do is no error.
+
+        One compaction of a table runs at a time in a process; others get Conflict, as does one whose snapshot is no longer current.
+        Replaced files stay for the snapshots that name them.
+        """
+        with _LOCK:
+            if self.base in _BUSY:
+                raise Conflict(f"{self.topic} is being compacted")
+            _BUSY.add(self.base)
+        try:
+            return self._compact(policy)
+        finally:
+            _BUSY.discard(self.base)
+
+    def _compact(self, policy: CompactionPolicy) -> dict:
         base = self.snapshot()
         none = {"files_in": 0, "files_out": 0, "rows": 0, "bytes_saved": 0}
         if base is None:
             return none
-        chosen = self.candidates(policy).drop("place")
-        paths = [r.path for r in chosen.select("path").collect()]
+        picked = self.candidates(policy).select("path")
+        paths = [r.path for r in picked.collect()]  # max_files of each directory
         if not paths:
             return none
+        chosen = self.active().join(picked, "path", "left_semi")
+        before = self._sizes(chosen, "x")
         write = f"{self.base}/data/write={uuid.uuid4().hex}"
         rows = self.spark.read.schema(self.schema).option("basePath", f"{self.base}/data").parquet(*paths).select(*self.schema.fieldNames())
-        rows.hint("rebalance", *self.by).sortWithinPartitions(*self.by, "timestamp_ms", "sequence").write.option("compression", "zstd").partitionBy(*self.by).parquet(write)
+        most_rows = max(1, policy.target_bytes * before["x-records"] // max(1, before["x-files-size"]))
+        conf, usual = "spark.sql.adaptive.advisoryPartitionSizeInBytes", self.spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        self.spark.conf.set(conf, str(policy.target_bytes))
+        try:
+            rows.hint("rebalance", *self.by).sortWithinPartitions(*self.by, "timestamp_ms", "sequence").write.option("compression", "zstd").option("maxRecordsPerFile", most_rows).partitionBy(*self.by).parquet(write)
+        finally:
+            self.spark.conf.set(conf, usual)
         made = self._stats(write)
-        chosen = self.active().join(chosen.select("path"), "path", "left_semi")
         try:
             self.replace(base["snapshot-id"], chosen, [made])
         except Conflict:
             self.files.delete(write)
             raise
-        before, after = (self._sizes(x, "x") for x in (chosen_again(self, base, paths), made))
+        after = self._sizes(made, "x")
         return {"files_in": before["x-data-files"], "files_out": after["x-data-files"], "rows": after["x-records"], "bytes_saved": before["x-files-size"] - after["x-files-size"]}
 
 
-def chosen_again(table: LakeTable, base: dict, paths: list[str]) -> DataFrame:
-    return table.active(snapshot_id=base["snapshot-id"]).where(F.col("path").isin(paths))
-
-
 def candidates(files: DataFrame, policy: CompactionPolicy = CompactionPolicy()) -> DataFrame:
     from pyspark.sql import Window
 

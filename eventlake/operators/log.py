@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 PART = ["topic", "partition"]
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of `rows` has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def first_of_key(rows: DataFrame, order: str) -> DataFrame:
     """Of rows with the same (topic, partition, idempotency_key) the first; rows without a key all.
 
@@ -29,16 +37,20 @@ def with_sequence(rows: DataFrame, order: str, high: DataFrame | None = None, wi
     Numbered in two steps, so that a partition with a third of all rows isn't sorted in one task: within ranges of
     `width` order values, and from the sums of the ranges before, which are one small row for each.
     """
-    cut = F.floor(F.col(order) / width).alias("_range")
-    ranged = rows.select("*", cut)
-    sizes = ranged.groupBy(*PART, "_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*PART).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*PART, "_range", before.alias("_before"))
+    cut, row, before = (unused(rows, n) for n in ("range", "row", "before"))
+    ranged = rows.select("*", F.floor(F.col(order) / width).alias(cut))
+    sizes = ranged.groupBy(*PART, cut).agg(F.count("*").alias(before))
+    sizes = sizes.select(*PART, cut, _sum_before(before, cut).alias(before))
     if high is not None:
-        sizes = sizes.join(high.select(*PART, "high"), PART, "left").select(*PART, "_range", (F.col("_before") + F.coalesce("high", F.lit(0))).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*PART, "_range").orderBy(order))
-    out = ranged.withColumn("_row", within).join(sizes, [*PART, "_range"]).withColumn("sequence", F.col("_before") + F.col("_row"))
-    return out.drop("_range", "_row", "_before")
+        sizes = sizes.join(high.select(*PART, "high"), PART, "left").select(*PART, cut, (F.col(before) + F.coalesce("high", F.lit(0))).alias(before))
+    within = F.row_number().over(Window.partitionBy(*PART, cut).orderBy(order))
+    out = ranged.withColumn(row, within).join(sizes, [*PART, cut]).withColumn("sequence", F.col(before) + F.col(row))
+    return out.drop(cut, row, before)
+
+
+def _sum_before(column: str, cut: str) -> Column:
+    """The sum of the ranges before, over one small row for each range."""
+    return F.coalesce(F.sum(column).over(Window.partitionBy(*PART).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def write_batch(rows: DataFrame, order: str, known: DataFrame | None = None, high: DataFrame | None = None) -> DataFrame:
@@ -120,14 +132,28 @@ def hot_count(high: Column, low: Column) -> Column:
     return F.when((low > 0) & (high >= low), high - low + 1).otherwise(0).cast("long")
 
 
-def size_prefix(rows: DataFrame, size: Column, target: int, order: str = "sequence") -> DataFrame:
-    """Of each partition the longest prefix whose sizes add up to `target` at most, one row at least."""
-    w = Window.partitionBy(*PART).orderBy(order)
-    ranked = rows.select("*", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"), F.row_number().over(w).alias("_row"))
-    return ranked.where((F.col("_sum") <= target) | (F.col("_row") == 1)).drop("_sum", "_row")
-
-
-def count_prefix(rows: DataFrame, most: int, order: str = "sequence") -> DataFrame:
-    """Of each partition the first `most` rows."""
-    return rows.withColumn("_row", F.row_number().over(Window.partitionBy(*PART).orderBy(order))).where(F.col("_row") <= most).drop("_row")
+def size_prefix(rows: DataFrame, size: Column, target: int, order: str = "sequence", width: int = 65_536) -> DataFrame:
+    """Of each partition the longest prefix, by the integer column `order`, whose sizes add up to `target` at most, one row at least.
 
+    Sums run within ranges of `width` order values, after the sums of the ranges before; ranges that begin beyond the
+    target are dropped, so no partition is sorted in one task. A null size counts as 0.
+    """
+    cut, held, before, upto, row, first = (unused(rows, n) for n in ("range", "held", "before", "upto", "row", "first"))
+    ranged = rows.select("*", F.floor(F.col(order) / width).alias(cut), F.coalesce(size, F.lit(0)).cast("long").alias(held))
+    sums = ranged.groupBy(*PART, cut).agg(F.sum(held).alias(before))
+    sums = sums.select(*PART, cut, _sum_before(before, cut).alias(before), F.row_number().over(Window.partitionBy(*PART).orderBy(cut)).alias(first))
+    w = Window.partitionBy(*PART, cut).orderBy(order)
+    near = ranged.join(sums.where((F.col(before) <= target) | (F.col(first) == 1)), [*PART, cut])
+    near = near.select("*", F.sum(held).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(upto), F.row_number().over(w).alias(row))
+    fits = (F.col(before) + F.col(upto) <= target) | ((F.col(first) == 1) & (F.col(row) == 1))
+    return near.where(fits).select(*rows.columns)
+
+
+def count_prefix(rows: DataFrame, most: int, order: str = "sequence", width: int = 65_536) -> DataFrame:
+    """Of each partition the first `most` rows by the integer column `order`, numbered within ranges as size_prefix does."""
+    cut, before, row = (unused(rows, n) for n in ("range", "before", "row"))
+    ranged = rows.select("*", F.floor(F.col(order) / width).alias(cut))
+    sums = ranged.groupBy(*PART, cut).agg(F.count("*").alias(before)).select(*PART, cut, _sum_before(before, cut).alias(before))
+    near = ranged.join(sums.where(F.col(before) < most), [*PART, cut])
+    near = near.withColumn(row, F.row_number().over(Window.partitionBy(*PART, cut).orderBy(order)))
+    return near.where(F.col(before) + F.col(row) <= most).select(*rows.columns)

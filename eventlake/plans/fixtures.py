@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.lake import LakeTable
 from ..operators.log import write_batch
 from ..operators.read import with_partition_columns
+from ..sources.files import scratch_dir
 
 #: The same in DuckDB: `src` are all events as write requests, `log` what the log holds of them.
 LOG_SQL = """
@@ -53,7 +53,7 @@ def lake_root(spark: SparkSession, sf_dir: str) -> str:
     """A lake with a table for each topic, written once a session and input, in two snapshots: rows before CUT_MS, then the others."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LAKES:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventlake-")
+        base = scratch_dir(spark)
         root = f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}"
         rows = log(spark, sf_dir)
         rows.write.parquet(f"{root}/.log")

@@ -19,6 +19,7 @@ from ..operators import read as R
 from ..operators.lake import CompactionPolicy, candidates, greedy_batches
 from ..schema import Extracted, TableConfig, valid_table_name
 from ..sources import ingest
+from ..sources.files import scratch_dir
 from ..sources.segments import read_segments, write_segments
 from .fixtures import CUT_MS, LOG_SQL, lakes, log, requests
 
@@ -629,7 +630,15 @@ def f15_event_sizes(spark, sf):
 
 @query(", r AS (SELECT topic, value, row_number() OVER (PARTITION BY topic ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY topic) AS n FROM src) SELECT topic, max(value) FILTER (WHERE i = least(CAST(floor(n * 0.5) AS BIGINT), n - 1)) AS p50, max(value) FILTER (WHERE i = least(CAST(floor(n * 0.99) AS BIGINT), n - 1)) AS p99 FROM r GROUP BY topic")
 def f18_percentiles(spark, sf):
-    return requests(spark, sf).groupBy("topic").agg(S.nearest_rank(F.col("value"), 0.5).alias("p50"), S.nearest_rank(F.col("value"), 0.99).alias("p99"))
+    return C.nearest_ranks(requests(spark, sf), ["topic"], "value", {"p50": 0.5, "p99": 0.99})
+
+
+@query("""SELECT topic, "partition", lpad(hex(min(sequence)), 16, '0') AS low, lpad(hex(max(timestamp_ms)), 16, '0') AS high, lpad(hex(CAST("partition" AS BIGINT)), 8, '0') AS part,
+  lpad(hex(min(timestamp_ms) // 86400000), 8, '0') AS day, hex(CAST(-max(sequence) AS BIGINT)) AS negative FROM log GROUP BY ALL""")
+def f4_bounds(spark, sf):
+    own = log(spark, sf).groupBy("topic", "partition").agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi"), F.max("timestamp_ms").alias("t"), F.min("event_date").alias("d"))
+    shown = lambda c, kind: F.hex(S.bound_bytes(c, kind))
+    return own.select("topic", "partition", shown(F.col("lo"), "long").alias("low"), shown(F.col("t"), "long").alias("high"), shown(F.col("partition"), "int").alias("part"), shown(F.col("d"), "date").alias("day"), shown(-F.col("hi"), "long").alias("negative"))
 
 
 # -- files
@@ -638,10 +647,9 @@ def f18_percentiles(spark, sf):
 @query('SELECT sequence, topic, "partition", payload, timestamp_ms, idempotency_key FROM log WHERE sequence >= 40')
 def k7_json_segments(spark, sf):
     """Written as JSON segments of fifty sequences and read again from an offset."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventlake-")
+    base = scratch_dir(spark)
     root = f"{base.rstrip('/')}/segments-{uuid.uuid4().hex}"
     write_segments(log(spark, sf), root, 5000)
     return shown(read_segments(spark, root, start_offset=40))
@@ -662,12 +670,11 @@ def c1_candidates(spark, sf):
 @query('SELECT topic, "partition", event_date, count(*) AS n, sum(sequence)::BIGINT AS total FROM log GROUP BY ALL')
 def c2_compacted(spark, sf):
     """A copy of the lake, each topic in three writes of interleaved rows, compacted: the same rows in fewer files."""
-    import tempfile
     import uuid
 
     from ..operators.lake import LakeTable
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventlake-")
+    base = scratch_dir(spark)
     root = f"{base.rstrip('/')}/compacted-{uuid.uuid4().hex}"
 
     def one(t: LakeTable) -> DataFrame:
@@ -685,12 +692,11 @@ def c2_compacted(spark, sf):
 @query('SELECT sequence, topic, "partition", timestamp_ms FROM log')
 def t2_stream_ingest(spark, sf):
     """The requests as a file stream into a hot log, one batch after the other."""
-    import tempfile
     import uuid
 
     from ..streaming.flush import HotLog, ingest_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventlake-")
+    base = scratch_dir(spark)
     root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     r = requests(spark, sf).withColumnRenamed("event_id", "arrival").drop("value")
     for i in range(3):

@@ -7,6 +7,7 @@ write files or a stream, which `streaming.flush.ingest_stream` appends in larger
 from __future__ import annotations
 
 import json
+import re
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -23,12 +24,44 @@ from .operators.checks import LATENCY_BUCKETS
 from .schema import check_table_name
 from .service import SUPPORTED, Gate, Overloaded, error_response, negotiate
 from .sources import ingest
+from .sources.files import Files
 from .streaming.flush import Flusher
 
 _JSON, _ARROW = SUPPORTED
 _COLUMNS = "arrival long, topic string, partition int, payload binary, timestamp_ms long, idempotency_key string"
 
 
+#: Method, path and what it does, of every route.
+ROUTES = (
+    ("get", "/health", "liveness"), ("get", "/health/live", "liveness"), ("get", "/health/ready", "readiness of the hot log, the lake and the gate"),
+    ("get", "/stats", "counters and rates"), ("get", "/metrics", "counters as exposition text"), ("get", "/openapi.json", "this document"),
+    ("post", "/tables/{table}", "write one event"), ("post", "/tables/{table}/bulk", "write events"), ("get", "/tables/{table}", "read events"),
+    ("get", "/tables/{table}/metadata", "where the table's metadata is"), ("get", "/tables/{table}/watermark", "flush and high marks"),
+    ("post", "/tables/{table}/flush", "flush now"), ("post", "/tables/{table}/compact", "merge small files"),
+    ("post", "/consumers/{group}/commit", "commit an offset"), ("get", "/consumers/{group}/offset", "the committed offset"),
+    ("get", "/v1/config", "catalog configuration"), ("get", "/v1/namespaces", "namespaces"), ("get", "/v1/namespaces/{namespace}", "a namespace"),
+    ("get", "/v1/namespaces/{namespace}/tables", "its tables"), ("get", "/v1/namespaces/{namespace}/tables/{table}", "a table's metadata"), ("head", "/v1/namespaces/{namespace}/tables/{table}", "whether a table exists"),
+)
+
+
+def openapi() -> dict:
+    """The OpenAPI document of ROUTES; names in braces are path parameters."""
+    paths: dict[str, dict] = {}
+    for method, path, what in ROUTES:
+        given = [{"name": n, "in": "path", "required": True, "schema": {"type": "string"}} for n in re.findall(r"{(\w+)}", path)]
+        status = "202" if path.startswith("/tables/") and method == "post" and path.endswith(("{table}", "/bulk")) else "204" if method == "head" else "200"
+        paths.setdefault(path, {})[method] = {"summary": what, "parameters": given, "responses": {status: {"description": "done"}, "default": {"description": "an error and its code"}}}
+    return {"openapi": "3.0.3", "info": {"title": "eventlake", "version": "1"}, "paths": paths}
+
+
+def _answers(ask) -> str:
+    try:
+        ask()
+    except Exception:
+        return "unavailable"
+    return "ok"
+
+
 class App:
     def __init__(self, flusher: Flusher, namespace: str = "eventlake", gate: Gate | None = None):
         self.flusher, self.hot, self.spark = flusher, flusher.hot, flusher.hot.spark
@@ -58,9 +91,10 @@ class App:
             case ("GET", "health") | ("GET", "health", "live"):
                 return 200, {"status": "ok"}
             case ("GET", "health", "ready"):
-                good = self.gate.ready()
-                return 200 if good else 503, {"status": "ok" if good else "unavailable", "hot_storage": {"status": "ok"}, "cold_storage": {"status": "ok"}, "backpressure": {
-                    "status": "ok" if good else "overloaded", "inflight_writes": self.gate.writes, "inflight_bytes": self.gate.bytes, "max_inflight_bytes": self.gate.most_bytes}}
+                free, hot, cold = self.gate.ready(), _answers(lambda: self.hot.marks("high").isEmpty()), _answers(lambda: self.catalog.namespaces(None) and Files(self.spark).list(self.flusher.lake_root))
+                good = free and hot == cold == "ok"
+                return 200 if good else 503, {"status": "ok" if good else "unavailable", "hot_storage": {"status": hot}, "cold_storage": {"status": cold}, "backpressure": {
+                    "status": "ok" if free else "overloaded", "inflight_writes": self.gate.writes, "inflight_bytes": self.gate.bytes, "max_inflight_bytes": self.gate.most_bytes}}
             case ("GET", "stats"):
                 return 200, self.stats()
             case ("GET", "metrics"):
@@ -82,11 +116,11 @@ class App:
             case ("POST", "tables", table, "flush"):
                 with self.lock:
                     done = self.flusher.flush_now(check_table_name(table))
-                return 200, {"status": "ok", "message": f"Flushed {done['events_flushed']} events", "events_flushed": done["events_flushed"], "segments_written": done["segments_pending"]}
+                return 200, {"status": "ok", "message": f"{done['events_flushed']} events are in the lake now", "events_flushed": done["events_flushed"], "segments_written": done["segments_written"]}
             case ("POST", "tables", table, "compact"):
                 with self.lock:
                     done = self.flusher.table(check_table_name(table)).compact()
-                return 200, {"status": "ok", "message": "Compaction completed" if done["files_in"] else "No compaction candidates found", "files_compacted": done["files_in"]}
+                return 200, {"status": "ok", "message": "small files were merged" if done["files_in"] else "no small files to merge", "files_compacted": done["files_in"]}
             case ("POST", "consumers", group, "commit"):
                 r = json.loads(body)
                 with self.lock:
@@ -95,6 +129,8 @@ class App:
             case ("GET", "consumers", group, "offset"):
                 p = int(query.get("partition", 0))
                 return 200, {"group": group, "topic": query["topic"], "partition": p, "offset": self.hot.committed_offset(group, query["topic"], p)}
+            case ("GET", "openapi.json"):
+                return 200, openapi()
             case ("GET", "v1", "config"):
                 return 200, self.catalog.config()
             case ("GET", "v1", "namespaces"):

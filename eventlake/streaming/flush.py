@@ -7,11 +7,14 @@ a replayed batch changes nothing.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,10 @@ from ..schema import LOG
 from ..sources.files import Files
 
 
+#: Of the hot log's state and rows; raised when either changes.
+FORMAT = 1
+
+
 @dataclass(frozen=True)
 class FlushPolicy:
     # Defaults of a lake's flushes and snapshots.
@@ -43,7 +50,12 @@ class HotLog:
 
     def state(self) -> dict:
         names = self._names()
-        return json.loads(self.files.read(f"{self.root}/state/s{names[-1]}.json")) if names else {"version": 0, "batches": [], "last_batch": -1, "marks": {}}
+        if not names:
+            return {"format_version": FORMAT, "version": 0, "batches": [], "last_batch": -1, "marks": {}}
+        state = json.loads(self.files.read(f"{self.root}/state/s{names[-1]}.json"))
+        if state.setdefault("format_version", 1) > FORMAT:  # logs from before the field are of the first format
+            raise RuntimeError(f"the hot log has format {state['format_version']}; this code reads up to {FORMAT}")
+        return state
 
     def _save(self, state: dict) -> None:
         state = state | {"version": state["version"] + 1}
@@ -138,6 +150,9 @@ class Flusher:
     staged_to: dict[tuple[str, int], int] = field(default_factory=dict)
     since: dict[str, float] = field(default_factory=dict)
     clean_at: float | None = None
+    writers: int = 4
+    segments: int = 0
+    last_error: Exception | None = None
 
     def table(self, topic: str) -> LakeTable:
         return LakeTable(self.hot.spark, self.lake_root, topic, granularity=self.granularity, clock=self.clock)
@@ -154,21 +169,44 @@ class Flusher:
         staged = spark.createDataFrame([(t, p, v) for (t, p), v in self.staged_to.items()], "topic string, partition int, flush long")
         return L.raise_marks(self.hot.marks("flush"), staged, "flush")
 
-    def cycle(self) -> int:
-        """Stages one bounded batch of each partition that has unflushed rows, then commits topics whose time has come. Returns the rows staged."""
+    def cycle(self, only: str | None = None) -> int:
+        """Stages one bounded batch of each partition that has unflushed rows, of one topic or all, then commits topics whose time has come. Returns the rows staged.
+
+        Topics are staged at the same time, `writers` at most; one that fails leaves the others as they are.
+        """
         rows = L.uncommitted(self.hot.rows(), self._marks())
+        rows = rows if only is None else rows.where(F.col("topic") == only)
         batch = L.size_prefix(L.count_prefix(rows, self.policy.most_rows), F.octet_length("payload") + 64, self.policy.target_bytes)
         todo = batch.groupBy(*L.PART).agg(F.max("sequence").alias("to"), F.count("*").alias("n")).collect()
-        for topic in sorted({r.topic for r in todo}):
-            staged = self.table(topic).stage(batch.where(F.col("topic") == topic))
-            self.pending.setdefault(topic, []).append(staged)
+        topics = sorted({r.topic for r in todo})
+        with ThreadPoolExecutor(max(1, min(self.writers, len(topics)))) as pool:
+            jobs = [(t, pool.submit(inheritable_thread_target(self.hot.spark)(self.table(t).stage), batch.where(F.col("topic") == t))) for t in topics]
+        failed = None
+        for topic, job in jobs:
+            if job.exception() is not None:
+                failed = failed or job.exception()
+                continue
+            self.pending.setdefault(topic, []).append(job.result())
             self.since.setdefault(topic, self.clock())
             self.staged_to.update({(r.topic, r.partition): r.to for r in todo if r.topic == topic})
         for topic in list(self.pending):
-            if self.due(topic):
+            if only in (None, topic) and self.due(topic):
                 self.commit(topic)
+        if failed is not None:
+            raise failed
         return sum(r.n for r in todo)
 
+    def run(self, interval_s: float, stop: threading.Event) -> None:
+        """Cycles at an interval until `stop` is set; a failed cycle is tried again at the next, from the durable marks."""
+        while not stop.wait(interval_s):
+            try:
+                self.cycle()
+                self.clean_if_due()
+            except Exception as e:
+                self.last_error = e
+                for topic in list(self.pending):
+                    self.roll_back(topic)
+
     def pending_size(self, topic: str) -> tuple[int, int]:
         sizes = [m.agg(F.count("*"), F.coalesce(F.sum("file_size"), F.lit(0))).first() for m in self.pending.get(topic, [])]
         return sum(s[0] for s in sizes), sum(s[1] for s in sizes)
@@ -183,6 +221,7 @@ class Flusher:
             raise RuntimeError(f"pending files of {topic} without a mark")
         self.table(topic).append(self.pending[topic], {f"{PREFIX}high_watermark.{p}": v for _, p, v in marks})
         self.hot.set_marks("flush", marks)
+        self.segments += self.pending_size(topic)[0]
         del self.pending[topic], self.since[topic]
         self.staged_to = {k: v for k, v in self.staged_to.items() if k[0] != topic}
         self.clean_at = self.clock() + self.policy.retention_s if self.clean_at is None else self.clean_at
@@ -195,14 +234,15 @@ class Flusher:
 
     def flush_now(self, topic: str | None = None) -> dict:
         """Stages and commits everything, of one topic or all, whatever the thresholds: rows, segments and the greatest mark."""
-        rows = 0
-        while n := self.cycle():
+        rows, before = 0, self.segments
+        while n := self.cycle(topic):
             rows += n
-        files = sum(self.pending_size(t)[0] for t in self.pending if topic in (None, t))
         for t in [t for t in self.pending if topic in (None, t)]:
             self.commit(t)
-        high = self.hot.marks("flush").agg(F.max("flush")).first()[0] or 0
-        return {"events_flushed": rows, "segments_pending": files, "new_watermark": high}
+        files = self.segments - before
+        marks = self.hot.marks("flush")
+        high = (marks if topic is None else marks.where(F.col("topic") == topic)).agg(F.max("flush")).first()[0] or 0
+        return {"events_flushed": rows, "segments_written": files, "new_watermark": high}
 
     def clean_if_due(self, force: bool = False) -> int:
         """Cleans the hot log once the retention since the commit has passed; at once at start and end."""

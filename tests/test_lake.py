@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from eventlake.operators import lake
 from eventlake.operators import log as L
 from eventlake.operators.catalog import Catalog, NoSuchNamespace
 from eventlake.operators.lake import CompactionPolicy, Conflict, LakeTable, greedy_batches
@@ -154,3 +155,66 @@ def test_catalog(spark, tmp_path):
 def test_exposition():
     text = exposition({"writes_total": [({}, 3)], "consumer_lag": [({"topic": 'a"b', "partition": 0}, 5)], "flush_duration_us": [({}, {**{f"le_{b}": 1 for b in (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 25000, 50000)}, "le_inf": 2, "total": 7.0, "n": 2})]}, "x_")
     assert "x_writes_total 3" in text and 'x_consumer_lag{topic="a\\"b",partition="0"} 5' in text and 'x_flush_duration_us_bucket{le="+Inf"} 2' in text
+
+
+def test_flush_of_one_topic_counts_that_topic(spark, tmp_path):
+    hot = HotLog(spark, str(tmp_path / "hot"))
+    hot.append(requests(spark, topic="t").unionByName(requests(spark, n=10, topic="u")), 0)
+    flusher = Flusher(hot, str(tmp_path / "lake"), FlushPolicy(snapshot_files=1), granularity="day")
+    done = flusher.flush_now("u")
+    assert done["events_flushed"] == flusher.table("u").read().count() == 10 and done["segments_written"] == flusher.table("u").active().count() > 0
+    assert flusher.table("t").version() == 0 and {r.topic for r in hot.marks("flush").collect()} == {"u"}
+
+
+def test_compaction_cuts_at_the_target_one_at_a_time(spark, tmp_path):
+    table, rows = LakeTable(spark, str(tmp_path), "t", granularity="day"), log_rows(spark, n=400)
+    for i in range(3):
+        table.append([table.stage(rows.where(F.col("sequence") % 3 == i))])
+    size = table.active().agg(F.sum("file_size")).first()[0]
+    before = keys(table.read())
+    assert table.compact(CompactionPolicy(target_bytes=size // 5))["files_out"] > 2 and keys(table.read()) == before
+    lake._BUSY.add(table.base)
+    try:
+        with pytest.raises(Conflict):
+            table.compact()
+    finally:
+        lake._BUSY.discard(table.base)
+
+
+def test_later_formats_are_refused(spark, tmp_path):
+    hot = HotLog(spark, str(tmp_path / "hot"))
+    hot.append(requests(spark), 0)
+    assert hot.state()["format_version"] == 1
+    hot._save(hot.state() | {"format_version": 2})
+    with pytest.raises(RuntimeError):
+        hot.rows()
+
+
+def test_external_registration(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    table = LakeTable(spark, str(tmp_path), "t", granularity="day")
+    table.append([table.stage(log_rows(spark))])
+    asked = []
+
+    class Other(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(409 if len(asked) < 3 else 200)
+            self.send_header("Content-Length", "0")
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Other)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    catalog = Catalog(spark, str(tmp_path), "lake.events")
+    assert catalog.register_external(f"http://127.0.0.1:{server.server_port}", "t") is None
+    server.shutdown()
+    server.server_close()
+    assert [p for p, _ in asked] == ["/v1/namespaces", "/v1/namespaces/lake%1Fevents/tables", "/v1/namespaces/lake%1Fevents/tables/t"]
+    assert asked[2][1]["updates"][1]["snapshot-id"] == table.snapshot()["snapshot-id"]
+    assert catalog.register_external(f"http://127.0.0.1:{server.server_port}", "t")

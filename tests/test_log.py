@@ -103,3 +103,42 @@ def test_marks(spark):
     assert [r.width for r in L.cleanup_width(mk("flush", (0, 5)), mk("cleanup", (0, 5))).collect()] == [0]
     lag = {r.partition: (r.committed, r.lag) for r in L.lag(mk("high", (0, 9), (1, 4)), mk("committed", (0, 12), (2, 1))).collect()}
     assert lag == {0: (12, 0), 1: (None, 4)}
+
+
+def test_folds_over_ranges_match_whole_partitions(spark):
+    import random
+
+    from eventlake.operators import checks as C
+
+    dice = random.Random(3)
+    rows = [("t", p, i, dice.randrange(100), dice.choice([None, 5, 9, 40])) for p in (0, 1, 2) for i in range(1, 60 if p else 200)]
+    df = spark.createDataFrame(rows, "topic string, partition int, sequence long, v int, size int").withColumn("range", F.lit(1)).withColumn("row", F.lit(2)).withColumn("before", F.lit(3))
+    for target in (0, 50, 10**6):
+        want = set()
+        for p in (0, 1, 2):
+            total = 0
+            for _, q, i, _, size in rows:
+                if q == p:
+                    total += size or 0
+                    if total <= target or i == 1:
+                        want.add((p, i))
+        got = L.size_prefix(df, F.col("size"), target, width=16)
+        assert got.columns == df.columns and {(r.partition, r.sequence) for r in got.collect()} == want
+    got = L.count_prefix(df, 37, width=16)
+    assert got.columns == df.columns and sorted((r.partition, r.sequence) for r in got.collect()) == [(p, i) for p in (0, 1, 2) for i in range(1, 38)]
+    want = {(p, i, max(top)) for _, p, i, v, _ in rows if (top := [w for _, q, j, w, _ in rows if q == p and j < i]) and v < max(top)}
+    assert {(r.partition, r.sequence, r.highest_before) for r in C.out_of_order(df, "sequence", "v", width=16).collect()} == want
+    assert L.with_sequence(df.drop("sequence").withColumn("at", F.monotonically_increasing_id()), "at", width=16).columns[-1] == "sequence"
+
+
+def test_exact_ranks(spark):
+    import random
+
+    from eventlake.operators import checks as C
+
+    dice = random.Random(4)
+    values = {"a": [dice.gauss(0, 1) for _ in range(5000)], "b": [1.0] * 700 + [2.0], "c": [3.0], "d": [None], "e": [float(i % 3) for i in range(100)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "g string, x double").repartition(5)
+    got = {r.g: (r.p0, r.p50, r.p99, r.p100) for r in C.nearest_ranks(df, ["g"], "x", {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}).collect()}
+    rank = lambda vs, p: sorted(vs)[min(int(len(vs) * p), len(vs) - 1)]
+    assert got == {k: (None,) * 4 if vs == [None] else tuple(rank(vs, p) for p in (0.0, 0.5, 0.99, 1.0)) for k, vs in values.items()}

@@ -63,3 +63,9 @@ def test_over_http(app):
             assert r.status == 200 and json.loads(r.read()) == {"status": "ok"}
     finally:
         server.shutdown()
+
+
+def test_every_route_is_in_the_document(app):
+    status, doc = call(app, "GET", "/openapi.json")
+    assert status == 200 and len(doc["paths"]) > 15 and set(doc["paths"]["/tables/{table}"]) == {"get", "post"}
+    assert call(app, "GET", "/health/ready")[1]["hot_storage"] == {"status": "ok"}
