@@ -14,4 +14,9 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-ORACLES = {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
+ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
+}

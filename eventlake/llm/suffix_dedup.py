@@ -291,6 +291,24 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, size: int = 400, **how)
     return both.mapInArrow(_cut(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
+ORACLE_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT r, CAST(s AS BIGINT) AS s, md5_number(hex(b[s:s + 399])) AS h FROM docs, unnest(range(1, n - 398)) AS t(s)),
+repeated AS (SELECT r, s FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM repeated),
+numbered AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS run FROM marked),
+runs AS (SELECT r, min(s) AS low, max(s) + 399 AS high FROM numbered GROUP BY r, run),
+placed AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM runs),
+pieces AS (
+  SELECT r, string_agg(CASE WHEN low > before + 1 THEN hex(b[before + 1:low - 1]) ELSE '' END, '' ORDER BY low) AS head, max(high) AS last, sum(high - low + 1) AS n_removed, count(*) AS n_spans
+  FROM placed JOIN docs USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || CASE WHEN n > coalesce(last, 0) THEN hex(b[coalesce(last, 0) + 1:n]) ELSE '' END)) AS kept_sha256
+FROM docs LEFT JOIN pieces USING (r)
+"""
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
