@@ -85,7 +85,7 @@ class Catalog:
 
         try:
             post(space, {"namespace": self.levels, "properties": {}}, True)
-            post(own, {"name": name, "location": table.base, "schema": {"type": "struct", **doc["schemas"][0]}, "partition-spec": doc["partition-specs"][0], "write-order": doc["sort-orders"][0], "properties": {}}, True)
+            post(own, {"name": name, "location": table.base, "schema": doc["schemas"][0], "partition-spec": doc["partition-specs"][0], "write-order": doc["sort-orders"][0], "properties": {}}, True)
             if snapshot := table.snapshot():
                 point = {"action": "set-snapshot-ref", "ref-name": "main", "type": "branch", "snapshot-id": snapshot["snapshot-id"]}
                 post(f"{own}/{name}", {"requirements": [], "updates": [{"action": "add-snapshot", "snapshot": snapshot}, point]}, False)

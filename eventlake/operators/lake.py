@@ -1,7 +1,8 @@
 """Lake tables: sorted, date- and hour-partitioned Parquet below versioned snapshots.
 
 Layout: {root}/{topic}/data/write={id}/event_date=../event_hour=../partition=../*.parquet, and
-{root}/{topic}/metadata/v{N}.metadata.json with manifests as Parquet beside it. A version is committed by
+{root}/{topic}/metadata/v{N}.metadata.json with manifests beside it: as Parquet, which our reads use, and as Avro
+with a list for each snapshot, which other engines read. A version is committed by
 creating the next v{N} under its own name, which fails if another writer has it. Files that no snapshot
 names are never read, so a job that dies between writing and committing leaves nothing visible.
 """
@@ -22,6 +23,7 @@ from ..functions.extract import extracted
 from ..functions.scalar import event_size, metadata_version
 from ..schema import FIELD_IDS, FIRST_EXTRACTED_ID, OVERFLOW, OVERFLOW_ID, TableConfig, check_table_name, lake_schema
 from ..sources.files import Files
+from . import manifests
 from .read import in_time, with_partition_columns
 
 #: Our own prefix for entries of a snapshot's summary.
@@ -34,6 +36,8 @@ _MANIFEST = (
     "event_date_min date, event_date_max date, event_hour_min int, event_hour_max int, ord bigint"
 )
 _MB = 1 << 20
+# The table format's names of column types.
+_TYPES = {"bigint": "long", "int": "int", "string": "string", "binary": "binary", "date": "date", "double": "double", "boolean": "boolean"}
 #: Tables that this process compacts now.
 _BUSY: set[str] = set()
 _LOCK = threading.Lock()
@@ -89,8 +93,12 @@ class LakeTable:
         stats.withColumn("status", F.lit(ADDED)).select(*ordered).write.parquet(path)
         out = self.spark.read.parquet(path)
         out.manifest_path = path
+        out.avro = self._avro(out.withColumns({"snapshot_id": F.lit(None).cast("long"), "number": F.lit(None).cast("long")}), self.metadata())
         return out
 
+    def _avro(self, entries: DataFrame, doc: dict) -> list[dict]:
+        return manifests.write_manifests(self.files, f"{self.base}/metadata", entries, self.by, doc["schemas"][0], doc["partition-specs"][0]["fields"])
+
     # -- versions
 
     def version(self) -> int:
@@ -104,15 +112,19 @@ class LakeTable:
         ids = {f.name: FIELD_IDS.get(f.name, OVERFLOW_ID if f.name == OVERFLOW else None) for f in self.schema}
         new = [f.name for f in self.schema if ids[f.name] is None]
         ids |= {name: FIRST_EXTRACTED_ID + i for i, name in enumerate(new)}
-        fields = [{"id": ids[f.name], "name": f.name, "required": not f.nullable, "type": f.dataType.simpleString()} for f in self.schema]
+        fields = [{"id": ids[f.name], "name": f.name, "required": not f.nullable, "type": _TYPES[f.dataType.simpleString()]} for f in self.schema]
+        spec = [{"name": k, "transform": "identity", "source-id": FIELD_IDS[k], "field-id": manifests.PARTITION_IDS[k]} for k in self.by]
+        order = [{"source-id": FIELD_IDS[k], "transform": "identity", "direction": "asc", "null-order": "nulls-last"} for k in ("timestamp_ms", "sequence")]
+        names = [{"field-id": f["id"], "names": [f["name"]]} for f in fields]  # the files carry no ids
         return {
             "format-version": 2, "table-uuid": str(uuid.uuid4()), "location": self.base, "last-sequence-number": 0, "current-snapshot-id": -1, "snapshots": [], "snapshot-log": [],
-            "schemas": [{"schema-id": int(self.structured), "fields": fields}], "current-schema-id": int(self.structured), "last-partition-id": 1001,
-            "partition-specs": [{"spec-id": 0, "fields": [{"name": k, "transform": "identity", "source-id": FIELD_IDS[k], "field-id": 1000 + i} for i, k in enumerate(_KEYS[:2])]}],
-            "sort-orders": [{"order-id": 1, "fields": [{"source-id": FIELD_IDS[k], "transform": "identity", "direction": "asc", "null-order": "nulls-last"} for k in ("timestamp_ms", "sequence")]}],
+            "schemas": [{"type": "struct", "schema-id": int(self.structured), "fields": fields}], "current-schema-id": int(self.structured), "last-column-id": max(f["id"] for f in fields),
+            "partition-specs": [{"spec-id": 0, "fields": spec}], "default-spec-id": 0, "last-partition-id": max(manifests.PARTITION_IDS.values()),
+            "sort-orders": [{"order-id": 1, "fields": order}], "default-sort-order-id": 1, "properties": {"schema.name-mapping.default": json.dumps(names)}, "last-updated-ms": 0,
         }
 
-    def _commit(self, doc: dict, operation: str, manifests: list[str], change: dict, extra: dict) -> dict:
+    def _commit(self, doc: dict, operation: str, tables: list[str], change: dict, extra: dict, avro: list[dict] | None = None, rewritten: bool = False) -> dict:
+        """`tables` are Parquet manifests that join the parent's; `avro` the same as records of a list, which replace the parent's records if `rewritten`."""
         parent = next((s for s in doc["snapshots"] if s["snapshot-id"] == doc["current-snapshot-id"]), None)
         old = parent["summary"] if parent else {}
         total = lambda k: max(0, int(old.get(f"total-{k}", 0)) + change[f"added-{k}"] - change[f"deleted-{k}"])
@@ -121,9 +133,11 @@ class LakeTable:
         number, now = doc["last-sequence-number"] + 1, int(self.clock() * 1000)
         taken = {s["snapshot-id"] for s in doc["snapshots"]}
         sid = next(i for i in range(time.time_ns() & (2**63 - 1), 2**63) if i not in taken)
+        old_list = parent.get("manifest-list") if parent and not rewritten else None
+        listed = manifests.write_list(self.files, f"{self.base}/metadata", sid, parent and parent["snapshot-id"], number, manifests.read_list(self.files, old_list) if old_list else [], avro or [])
         snapshot = {
-            "snapshot-id": sid, "parent-snapshot-id": parent["snapshot-id"] if parent else None, "sequence-number": number, "timestamp-ms": now, "summary": summary,
-            "manifests": [*(parent["manifests"] if parent else []), *manifests], "schema-id": doc["current-schema-id"],
+            "snapshot-id": sid, **({"parent-snapshot-id": parent["snapshot-id"]} if parent else {}), "sequence-number": number, "timestamp-ms": now, "summary": summary,
+            "manifest-list": listed, "manifests": [*(parent["manifests"] if parent else []), *tables], "schema-id": doc["current-schema-id"],
         }
         doc = doc | {"last-sequence-number": number, "current-snapshot-id": sid, "snapshots": [*doc["snapshots"], snapshot], "snapshot-log": [*doc["snapshot-log"], {"snapshot-id": sid, "timestamp-ms": now}], "last-updated-ms": now}
         n = self.version()
@@ -148,7 +162,7 @@ class LakeTable:
             marks[f"{PREFIX}watermark.{p}"] = high
         for i in range(tries):
             try:
-                return self._commit(self.metadata(), "append", [m.manifest_path for m in staged], change, marks | (extra or {}))
+                return self._commit(self.metadata(), "append", [m.manifest_path for m in staged], change, marks | (extra or {}), [r for m in staged for r in m.avro])
             except Conflict:
                 if i == tries - 1:
                     raise
@@ -166,7 +180,20 @@ class LakeTable:
         for m in staged:
             for k, v in self._sizes(m, "added").items():
                 change[k] += v
-        return self._commit(doc, "replace", [path, *[m.manifest_path for m in staged]], change, {})
+        avro = self._avro(self._carried(doc, deleted), doc)
+        return self._commit(doc, "replace", [path, *[m.manifest_path for m in staged]], change, {}, avro + [r for m in staged for r in m.avro], True)
+
+    def _carried(self, doc: dict, deleted: DataFrame) -> DataFrame:
+        """The active files, each with the snapshot and number that added it, as existing or deleted entries: an Avro manifest can't undo an entry of another."""
+        by_place: list[tuple[int, int]] = []  # of each manifest in the list's order, the snapshot that brought it
+        for s in doc["snapshots"]:
+            by_place += [(s["snapshot-id"], s["sequence-number"])] * (len(dict.fromkeys(s["manifests"])) - len(by_place))
+        if not by_place:
+            return self.active().withColumns({"snapshot_id": F.lit(None).cast("long"), "number": F.lit(None).cast("long")})
+        at = lambda i: F.array(*[F.lit(p[i]).cast("long") for p in by_place])[F.col("ord").cast("int")]
+        gone = deleted.select("path").withColumn("_gone", F.lit(True))
+        files = self.active().drop("status").join(gone, "path", "left").withColumn("status", F.when(F.col("_gone"), DELETED).otherwise(EXISTING))
+        return files.withColumns({"number": at(1), "snapshot_id": F.when(~F.coalesce("_gone", F.lit(False)), at(0))})
 
     # -- snapshots and reads
 

@@ -76,6 +76,24 @@ class Files:
         finally:
             stream.close()
 
+    @retried
+    def read_bytes(self, path: str) -> bytes:
+        stream = self._fs(path).open(self._path(path))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    @retried
+    def write(self, path: str, raw: bytes) -> None:
+        """A file under a name that nobody else uses; a second try replaces a part of the first."""
+        stream = self._fs(path).create(self._path(path), True)
+        try:
+            for i in range(0, len(raw), 1 << 20):
+                stream.write(bytearray(raw[i : i + (1 << 20)]))
+        finally:
+            stream.close()
+
     def create(self, path: str, text: str, scratch: str) -> bool:
         """Writes the file whole, under its own name only when complete; False if the name is taken."""
         fs, temp, final = self._fs(path), self._path(f"{path}.{scratch}.tmp"), self._path(path)

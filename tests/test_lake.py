@@ -218,3 +218,66 @@ def test_external_registration(spark, tmp_path):
     assert [p for p, _ in asked] == ["/v1/namespaces", "/v1/namespaces/lake%1Fevents/tables", "/v1/namespaces/lake%1Fevents/tables/t"]
     assert asked[2][1]["updates"][1]["snapshot-id"] == table.snapshot()["snapshot-id"]
     assert catalog.register_external(f"http://127.0.0.1:{server.server_port}", "t")
+
+
+def test_avro_round_trip_and_layout():
+    from eventlake.sources import avro
+
+    schema = {"type": "record", "name": "r", "fields": [{"name": "a", "type": "long"}, {"name": "b", "type": ["null", "string"]}, {"name": "c", "type": {"type": "array", "items": "int"}}, {"name": "d", "type": {"type": "map", "values": "bytes"}}]}
+    rows = [{"a": a, "b": b, "c": c, "d": d} for a, b, c, d in [(0, None, [], {}), (-1, "é", [1, -64, 64], {"k": b"\0"}), (2**63 - 1, "", [0], {}), (-(2**63), "x" * 300, [], {"k": b"", "l": b"z"})]]
+    sync = b"s" * 16
+    raw = avro.header(schema, {"k": "v"}, sync) + avro.block(4, b"".join(avro.encode(schema, r) for r in rows), sync)
+    head, got = avro.read_file(raw)
+    assert got == rows and head["k"] == b"v" and avro.encode("long", 64) == b"\x80\x01" and avro.encode("int", -1) == b"\x01"
+    with pytest.raises(ValueError):
+        avro.read_file(b"none")
+
+
+@pytest.mark.parametrize("granularity", ["day", "hour"])
+def test_avro_manifests_show_the_active_files(spark, tmp_path, granularity):
+    from eventlake.operators.manifests import live_files, read_list
+
+    table, rows = LakeTable(spark, str(tmp_path), "t", granularity=granularity), log_rows(spark)
+
+    def same():
+        found = live_files(table.files, table.snapshot()["manifest-list"])
+        want = {r.path: r for r in table.active().collect()}
+        assert found.keys() == want.keys()
+        for path, r in want.items():
+            low, high = ({b["key"]: int.from_bytes(b["value"], "little", signed=True) for b in found[path][f"{k}_bounds"]} for k in ("lower", "upper"))
+            assert (low[1], high[1], low[5], high[5], low[3], found[path]["record_count"], found[path]["file_size_in_bytes"]) == (r.sequence_min, r.sequence_max, r.timestamp_ms_min, r.timestamp_ms_max, r.partition, r.n, r.file_size)
+            assert found[path]["partition"]["partition"] == r.partition and found[path]["partition"]["event_date"] == 19737 == low[7]
+            assert ("event_hour" in found[path]["partition"]) == (granularity == "hour")
+
+    for i in range(4):
+        table.append([table.stage(rows.where(F.col("sequence") % 4 == i))])
+        same()
+    assert len(read_list(table.files, table.snapshot()["manifest-list"])) == 4
+    table.compact(CompactionPolicy(max_files=3))
+    same()
+    listed = read_list(table.files, table.snapshot()["manifest-list"])
+    assert sum(m["deleted_files_count"] for m in listed) == int(table.snapshot()["summary"]["deleted-data-files"]) and {m["sequence_number"] for m in listed} == {5}
+    assert sum(m["added_rows_count"] + m["existing_rows_count"] for m in listed) == rows.count() and min(m["min_sequence_number"] for m in listed) == 1
+    table.append([table.stage(rows.where("false"))])
+    same()
+
+
+@pytest.mark.parametrize("n_empty", [0, 1])
+def test_avro_files_open_with_the_public_library(spark, tmp_path, n_empty):
+    """Read through the Avro classes among Spark's jars."""
+    table = LakeTable(spark, str(tmp_path), "t", granularity="day")
+    rows = log_rows(spark)
+    for part in [rows, *[rows.where("false")] * n_empty]:
+        table.append([table.stage(part)])
+    jvm = spark.sparkContext._jvm
+    records = []
+    for path in [table.snapshot()["manifest-list"]]:
+        reader = jvm.org.apache.avro.file.DataFileReader(jvm.java.io.File(path), jvm.org.apache.avro.generic.GenericDatumReader())
+        while reader.hasNext():
+            records.append(reader.next())
+    assert len(records) == 1
+    manifest = jvm.org.apache.avro.file.DataFileReader(jvm.java.io.File(records[0].get("manifest_path").toString()), jvm.org.apache.avro.generic.GenericDatumReader())
+    paths = set()
+    while manifest.hasNext():
+        paths.add(manifest.next().get("data_file").get("file_path").toString())
+    assert paths == {r.path for r in table.active().collect()}
