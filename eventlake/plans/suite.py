@@ -17,7 +17,8 @@ from ..operators import log as L
 from ..operators import metrics as M
 from ..operators import read as R
 from ..operators.lake import CompactionPolicy, candidates, greedy_batches
-from ..schema import Extracted, TableConfig, valid_table_name
+from ..operators.manifests import live_files
+from ..schema import FIELD_IDS, Extracted, TableConfig, valid_table_name
 from ..sources import ingest
 from ..sources.files import scratch_dir
 from ..sources.segments import read_segments, write_segments
@@ -31,13 +32,14 @@ T0, T1 = 1_704_844_800_000, 1_705_017_600_000
 LOG_COLUMNS = ["sequence", "topic", "partition", "payload", "timestamp_ms", "idempotency_key"]
 
 
-def query(sql: str | None = None, raw: bool = False) -> Callable[[Query], Query]:
-    """Registers a query by its function's name, with SQL over `src` and `log` (or over the tables themselves if raw)."""
+def query(sql: str | None = None, raw: bool = False, recursive: bool = False) -> Callable[[Query], Query]:
+    """Registers a query by its function's name, with SQL over `src` and `log` (or over the tables themselves if raw); it may be recursive."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql if raw else f"WITH {LOG_SQL} {sql}" if not sql.lstrip().startswith(",") else f"WITH {LOG_SQL}{sql}"
+            head = "WITH RECURSIVE" if recursive else "WITH"
+            ORACLES[f.__name__] = sql if raw else f"{head} {LOG_SQL} {sql}" if not sql.lstrip().startswith(",") else f"{head} {LOG_SQL}{sql}"
         return f
 
     return add
@@ -539,12 +541,32 @@ def o6_count_prefix(spark, sf):
     return L.count_prefix(log(spark, sf), 30).select("topic", "partition", "sequence")
 
 
-@query()
+@query(""", sized AS (
+  SELECT topic, "partition", event_date, octet_length(encode(payload)) + 100 AS size, row_number() OVER (PARTITION BY topic, "partition", event_date ORDER BY sequence) AS i FROM log
+), fold AS (
+  SELECT topic, "partition", event_date, i, size, 0 AS batch, CASE WHEN size >= 2000 THEN 0 ELSE size END AS held, CASE WHEN size >= 2000 THEN 1 ELSE 0 END AS next FROM sized WHERE i = 1
+  UNION ALL
+  SELECT s.topic, s."partition", s.event_date, s.i, s.size, f.next, CASE WHEN f.held + s.size >= 2000 THEN 0 ELSE f.held + s.size END, f.next + CASE WHEN f.held + s.size >= 2000 THEN 1 ELSE 0 END
+  FROM fold f JOIN sized s ON s.topic = f.topic AND s."partition" = f."partition" AND s.event_date = f.event_date AND s.i = f.i + 1
+) SELECT topic, "partition", event_date, CAST(batch AS INTEGER) AS batch, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM fold GROUP BY ALL""", recursive=True)
 def o7_greedy_batches(spark, sf):
-    """Sums that start again at each cut are a fold; SQL would need recursion. Tests compare it with a loop."""
+    """Sums that start again at each cut are a fold, in SQL a recursion."""
     return greedy_batches(log(spark, sf), 2000).groupBy("topic", "partition", "event_date", "batch").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+@query('SELECT topic, "partition", event_date, count(*) AS n, min(sequence) AS sequence_min, max(sequence) AS sequence_max FROM log GROUP BY ALL')
+def k10_avro_manifests(spark, sf):
+    """What the Avro manifests of the current snapshots say of the data files, their bounds decoded."""
+    number = lambda bounds: next(int.from_bytes(b["value"], "little", signed=True) for b in bounds if b["key"] == FIELD_IDS["sequence"])
+    rows = []
+    for t in lakes(spark, sf):
+        for f in live_files(t.files, t.snapshot()["manifest-list"]).values():
+            rows.append((t.topic, f["partition"]["partition"], f["partition"]["event_date"], f["record_count"], number(f["lower_bounds"]), number(f["upper_bounds"])))
+    files = spark.createDataFrame(rows, "topic string, partition int, day int, n long, low long, high long")
+    by = ["topic", "partition", F.date_from_unix_date("day").alias("event_date")]
+    return files.groupBy(*by).agg(F.sum("n").alias("n"), F.min("low").alias("sequence_min"), F.max("high").alias("sequence_max"))
+
+
 # -- set operations
 
 
