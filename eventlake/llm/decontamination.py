@@ -136,5 +136,57 @@ def clean_rows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **how
     return docs.join(gone, F.col("doc_id") == F.col(at), "left_anti")
 
 
+def _sql_typed(word: str) -> str:
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    return f"CASE WHEN regexp_matches({word}, '{_NUMBER}') THEN '<n>' WHEN regexp_matches({word}, '{_NAME}') THEN '<name>' WHEN lower({word}) IN ({units}) THEN '<unit>' ELSE lower({word}) END"
+
+
+#: The same rules on the words themselves, without hashes.
+ORACLE_SQL = f"""
+WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+split AS (
+  SELECT DISTINCT side, id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: trim(w, '{_PUNCTUATION.replace("'", "''")}')), lambda w: w <> '') AS words
+  FROM texts
+),
+coded AS (SELECT *, list_transform(words, lambda w: lower(w)) AS plain, list_transform(words, lambda w: {_sql_typed("w")}) AS canon FROM split),
+sizes AS (SELECT 5 AS n UNION SELECT len(words) FROM split WHERE side = 'i' AND len(words) BETWEEN 1 AND 4),
+windows AS (
+  SELECT side, id, len(words) AS n_words, n, CAST(p AS BIGINT) AS pos, canon[p + 1:p + n] AS canon, plain[p + 1:p + n] AS plain
+  FROM coded, sizes, unnest(range(0, len(words) - n + 1)) AS t(p)
+),
+typed AS (
+  SELECT id AS item_id, pos AS ipos, canon, plain, len(list_filter(canon, lambda c: c NOT IN ('<n>', '<name>', '<unit>'))) > 0 AS typed
+  FROM windows WHERE side = 'i' AND n = CASE WHEN n_words < 5 THEN n_words ELSE 5 END
+),
+wanted AS (
+  SELECT *, count(DISTINCT ipos) OVER (PARTITION BY item_id) AS n_windows
+  FROM (SELECT *, bool_or(typed) OVER (PARTITION BY item_id) AS has_typed FROM typed) WHERE typed OR NOT has_typed
+),
+held AS (SELECT id AS doc_id, pos, canon, plain FROM windows WHERE side = 'd'),
+found AS (
+  SELECT doc_id, item_id, n_windows, ipos, pos - ipos AS shift, h.plain AS ours, w.plain AS theirs, w.canon AS kinds FROM held h JOIN wanted w ON h.canon = w.canon WHERE w.typed
+  UNION
+  SELECT doc_id, item_id, n_windows, ipos, pos - ipos, h.plain, w.plain, w.canon FROM held h JOIN wanted w ON h.plain = w.plain
+),
+pairs AS (
+  SELECT doc_id, item_id, shift, ipos, ours = theirs AS same, ipos + k - 1 AS place, kinds[k] AS kind, theirs[k] AS own, ours[k] AS new
+  FROM found, unnest(range(1, len(theirs) + 1)) AS t(k) WHERE kinds[k] IN ('<n>', '<name>', '<unit>')
+),
+often AS (SELECT doc_id, item_id, shift, kind, own, new, count(DISTINCT place) AS n, min(place) AS first_at FROM pairs GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift, kind, own ORDER BY n DESC, first_at, new) AS by_own,
+         row_number() OVER (PARTITION BY doc_id, item_id, shift, kind, new ORDER BY n DESC, first_at, own) AS by_new
+  FROM often
+),
+odd AS (SELECT doc_id, item_id, shift, kind, own, new FROM ranked WHERE by_own > 1 OR (kind <> '<n>' AND by_new > 1)),
+broken AS (SELECT DISTINCT doc_id, item_id, shift, ipos FROM pairs SEMI JOIN odd USING (doc_id, item_id, shift, kind, own, new) WHERE NOT same),
+counted AS (
+  SELECT doc_id, item_id, n_windows, count(DISTINCT ipos) AS n_found
+  FROM (SELECT * FROM found WHERE ours = theirs UNION ALL SELECT * FROM found ANTI JOIN broken USING (doc_id, item_id, shift, ipos) WHERE ours <> theirs) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_windows, n_found, n_found / n_windows AS coverage FROM counted WHERE n_found / n_windows >= 0.8
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))

@@ -18,5 +18,7 @@ ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op7_decontamination": decontamination.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op10_url_filter": url_filter.ORACLE_SQL,
 }

@@ -133,5 +133,44 @@ def judge_pages(spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] =
     )
 
 
+#: Ranks in SQL go through a fixed number of rounds; on tables whose pages link no other host one round is exact.
+ORACLE_SQL = r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, coalesce(html, '') AS html,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+),
+rules(verdict, of, start) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (SELECT DISTINCT host, path, first(of || start ORDER BY length(of || start) DESC) AS rule, first(verdict ORDER BY length(of || start) DESC) AS ruled
+        FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY host, path),
+page AS (SELECT page_id, html, host, path, rule, ruled FROM parts LEFT JOIN fit USING (host, path)),
+seeds AS (SELECT host, CAST(count(*) FILTER (ruled = 'allow') AS DOUBLE) AS seed_t, CAST(count(*) FILTER (ruled = 'block') AS DOUBLE) AS seed_d FROM page WHERE host <> '' GROUP BY host),
+found AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\b(?:href|src)\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)', 1)) AS link FROM page),
+links AS (
+  SELECT src, dst, count(*) AS n
+  FROM (SELECT src, translate(regexp_extract(regexp_replace(link, '^//', 'x://'), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM found)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+),
+weights AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS wt, n / sum(n) OVER (PARTITION BY dst) AS wd FROM links),
+edges AS (SELECT a, b, sum(wt) AS wt, sum(wd) AS wd FROM (SELECT src AS a, dst AS b, wt, 0.0::DOUBLE AS wd FROM weights UNION ALL SELECT dst, src, 0.0, wd FROM weights) GROUP BY a, b),
+nodes AS (SELECT host, sum(seed_t) AS seed_t, sum(seed_d) AS seed_d FROM (SELECT * FROM seeds UNION ALL SELECT a, 0.0, 0.0 FROM edges) GROUP BY host),
+ranks(i, host, trust, distrust) AS (
+  SELECT 0, host, seed_t, seed_d FROM nodes
+  UNION ALL
+  SELECT passed.i + 1, nodes.host, (1 - 0.85::DOUBLE) * seed_t + 0.85::DOUBLE * t, (1 - 0.85::DOUBLE) * seed_d + 0.85::DOUBLE * d
+  FROM nodes JOIN (
+    SELECT r.i, r.host, coalesce(sum(f.trust * wt), 0.0::DOUBLE) AS t, coalesce(sum(f.distrust * wd), 0.0::DOUBLE) AS d
+    FROM ranks r LEFT JOIN edges ON b = r.host LEFT JOIN ranks f ON f.host = a WHERE r.i < 120 GROUP BY r.i, r.host
+  ) passed ON passed.host = nodes.host
+),
+known AS (SELECT host, trust, distrust FROM ranks WHERE i = 120)
+SELECT page_id, page.host, path, rule,
+       coalesce(ruled, CASE WHEN distrust > 0.5 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0.0::DOUBLE) AS host_trust, coalesce(distrust, 0.0::DOUBLE) AS host_distrust
+FROM page LEFT JOIN known ON known.host = page.host
+"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(spark, table(spark, sf_dir, "pages"))

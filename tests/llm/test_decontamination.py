@@ -1,10 +1,11 @@
 import random
 import re
 
+import duckdb
 from corpus import documents
 from pyspark.sql import functions as F
 
-from eventlake.llm.decontamination import UNITS, clean_rows, contaminated
+from eventlake.llm.decontamination import ORACLE_SQL, UNITS, clean_rows, contaminated
 
 ITEMS = [
     (1, "Tom buys 3 apples and Anna buys 5 pears so how many kg of fruit does Tom carry home for 7 days"),
@@ -113,3 +114,25 @@ def test_short_and_placeholder_items_are_found(spark):
     docs = [(1, "then tom eats 3 pears"), (2, "x Tom Anna Bob Maria Paul Eve y"), (3, "Eve Tom Anna Bob Maria Paul"), (4, "is 7, 12, 9"), (5, "is 7 12 8"), (6, "Plain words"), (7, "words plain"), (8, "Eve eats 4 pears"), (9, None), (10, "x")]
     got = contaminated(spark, documents(spark, docs), items).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (4, 3), (6, 4), (8, 1)] and {r.coverage for r in got} == {1.0}
+
+
+def test_sql_gives_the_same_rows(spark):
+    dice = random.Random(8)
+    vocabulary = ["Ann", "Bob", "Cleo", "2", "3", "7.5", "kg", "Miles", "oak", "ELM", "ash", "buys", "of", "«Éva»", "--", "ten,"]
+    items = [*ITEMS, (5, "Ann Bob 3"), (6, "Ann Bob 3 kg 7 Cleo Eva"), (7, "oak"), (8, ""), (8, "--")]
+    items += [(10 + i, " ".join(dice.choices(vocabulary, k=dice.randrange(3, 25)))) for i in range(15)]
+    docs = corpus()
+    for i in range(150):
+        body = (dice.choice(items)[1] or "").split()
+        for _ in range(dice.randrange(4)):
+            if body:
+                body[dice.randrange(len(body))] = dice.choice(vocabulary)
+        text = " ".join([*dice.choices(vocabulary, k=dice.randrange(5)), *body, *dice.choices(vocabulary, k=dice.randrange(5))])
+        docs.append((100 + i, dice.choice([str, str.lower, str.upper])(text)))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    df = documents(spark, docs)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow()).register("benchmark", table.toArrow())
+    want = con.execute(ORACLE_SQL).fetchall()
+    got = contaminated(spark, df, table).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 60

@@ -1,7 +1,10 @@
+import random
+
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventlake.llm.url_filter import RULES, host_links, judge_pages, propagate, url_parts
+from eventlake.llm.url_filter import ORACLE_SQL, RULES, host_links, judge_pages, propagate, url_parts
 
 SCHEMA = "page_id long, url string, html string, rule string, trust double"
 
@@ -60,3 +63,26 @@ def test_distrust_reaches_hosts_far_away(spark):
     links = [(f"h{i + 1}", f"h{i}", 1) for i in range(n)]
     got = {r.host: r.distrust for r in propagate(spark, seeds, spark.createDataFrame(links, "src string, dst string, n long")).collect()}
     assert all(np.isclose(got[f"h{i}"], 0.15 * 0.85**i, rtol=1e-5, atol=0) for i in range(n + 1))
+
+
+def test_sql_gives_the_same_verdicts_on_linked_hosts(spark):
+    dice = random.Random(4)
+    urls = ["http://a.com/de/1", "http://b.com/fr/2", "http://x.Example.org/es/1", "http://example.org/en/12", "http://u.org/q", "://", "none", None, ""]
+    urls += [f"http://h{i}.net/{i}" for i in range(30)]
+    rows = [(u, dice.choice([None, "", link(*dice.choices([v for v in urls if v], k=dice.randrange(1, 5)))])) for u in urls * 2]
+    table = pages(spark, rows)
+    got = {r.page_id: r for r in judge_pages(spark, table).collect()}
+    arrow = table.toArrow()
+    want = duckdb.connect().register("pages", arrow).execute(ORACLE_SQL).fetchall()
+    assert len(want) == len(got) == len(rows) and len({r[4] for r in want if r[3] is None}) == 2
+    for page_id, host, path, rule, verdict, trust, distrust in want:
+        r = got[page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert np.allclose((r.host_trust, r.host_distrust), (trust, distrust), rtol=1e-4, atol=0)
+        assert r.verdict == verdict or np.isclose(trust, distrust, rtol=1e-4)
+
+
+def test_very_long_html(spark):
+    page = link(*[f"http://h{i % 3}.net/{i}" for i in range(30_000)]) + "<p>" + "word " * 200_000
+    df = pages(spark, [("http://a.net/", page)]).select("html", F.lit("a.net").alias("host"))
+    assert sorted((r.dst, r.n) for r in host_links(df).collect()) == [(f"h{i}.net", 10_000) for i in range(3)]
