@@ -1,6 +1,6 @@
 """A thin HTTP layer over the hot log, the lake and the catalog; standard library only.
 
-Each write request is one micro-batch. That suits tests, tools and small producers; heavy producers should
+Write requests that wait at the same time are one micro-batch. That suits tests, tools and small producers; heavy producers should
 write files or a stream, which `streaming.flush.ingest_stream` appends in larger batches.
 """
 
@@ -25,6 +25,7 @@ from .schema import check_table_name
 from .service import SUPPORTED, Gate, Overloaded, error_response, negotiate
 from .sources import ingest
 from .sources.files import Files
+from .streaming.combiner import Combiner
 from .streaming.flush import Flusher
 
 _JSON, _ARROW = SUPPORTED
@@ -62,11 +63,21 @@ def _answers(ask) -> str:
     return "ok"
 
 
+def _checked(events: list[dict]) -> list[dict]:
+    """The events, if the log's columns can hold them: one that can't must not fail the batch it would share."""
+    for e in events:
+        if not 0 <= e["partition"] < 1 << 31 or not -(1 << 63) <= e["timestamp_ms"] < 1 << 63 or not isinstance(e["idempotency_key"], str | None):
+            raise ValueError("a partition, time or key is out of range")
+    return events
+
+
 class App:
-    def __init__(self, flusher: Flusher, namespace: str = "eventlake", gate: Gate | None = None):
+    def __init__(self, flusher: Flusher, namespace: str = "eventlake", gate: Gate | None = None, combiner: Combiner | None = None):
         self.flusher, self.hot, self.spark = flusher, flusher.hot, flusher.hot.spark
         self.catalog, self.gate = Catalog(self.spark, flusher.lake_root, namespace), gate or Gate()
         self.started, self.lock = time.time(), threading.Lock()
+        self.combiner = combiner or Combiner(self._append)
+        self.combiner.write = self._append
         self.requests: list[tuple[str, str, float, int]] = []  # kind, topic, microseconds, records
         self.errors = 0
 
@@ -158,12 +169,20 @@ class App:
                 given = int(headers.get("x-partition", 0))
             except ValueError:
                 given = 0
-            return [e | {"partition": e["partition"] if bulk else given, "timestamp_ms": e["timestamp_ms"] or now, "idempotency_key": e["idempotency_key"] or None} for e in events]
+            return _checked([e | {"partition": e["partition"] if bulk else given, "timestamp_ms": e["timestamp_ms"] or now, "idempotency_key": e["idempotency_key"] or None} for e in events])
         doc = json.loads(body)
         events = doc["records"] if bulk else [doc]
         if not all(isinstance(e, dict) and isinstance(e.get("payload"), str) for e in events):
             raise ValueError("a record needs a payload text")
-        return [{"payload": e["payload"].encode(), "partition": int(e.get("partition") or 0), "timestamp_ms": now if e.get("timestamp_ms") is None else int(e["timestamp_ms"]), "idempotency_key": e.get("idempotency_key")} for e in events]
+        return _checked([{"payload": e["payload"].encode(), "partition": int(e.get("partition") or 0), "timestamp_ms": now if e.get("timestamp_ms") is None else int(e["timestamp_ms"]), "idempotency_key": e.get("idempotency_key")} for e in events])
+
+    def _append(self, requests: list[tuple[str, list[dict]]]) -> list[list[int]]:
+        """Writes requests as one batch; the sequences of each one's events."""
+        rows = [(topic, e["partition"], bytearray(e["payload"]), e["timestamp_ms"], e["idempotency_key"]) for topic, events in requests for e in events]
+        with self.lock:
+            placed = self.hot.append_for_offsets(self.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], _COLUMNS))
+            got = iter([v for _, v in sorted(tuple(r) for r in placed.collect())])  # of these requests alone
+        return [[next(got) for _ in events] for _, events in requests]
 
     def _write(self, table: str, headers: dict, body: bytes, bulk: bool):
         begin = time.time()
@@ -176,9 +195,7 @@ class App:
                 raise ValueError(f"bad request: {e}") from e
             if not events:
                 return 202, {"offsets": [], "count": 0, "table": table}
-            rows = [(i, table, e["partition"], bytearray(e["payload"]), e["timestamp_ms"], e["idempotency_key"]) for i, e in enumerate(events)]
-            with self.lock:
-                got = dict(self.hot.append_for_offsets(self.spark.createDataFrame(rows, _COLUMNS)).collect())  # of this request alone
+            got = self.combiner.submit(table, events, len(body))
         finally:
             self.gate.leave(len(body))
         self.requests.append(("write", table, (time.time() - begin) * 1e6, len(events)))
@@ -219,6 +236,9 @@ class App:
         high = self.hot.marks("high").collect()
         up |= {"uptime_secs": [({}, round(s["uptime_secs"], 3))], "writes_total": [({}, s["writes"]["total"])], "reads_total": [({}, s["reads"]["total"])], "reads_records_total": [({}, s["reads"]["records"])]}
         up |= {"errors_total": [({}, self.errors)], "inflight_bytes": [({}, self.gate.bytes)], "inflight_writes_available": [({}, self.gate.most_writes - self.gate.writes)], "backpressure_rejections_total": [({}, self.gate.refused)]}
+        up["write_combiner_queue_depth"] = [({"shard": i}, n) for i, n in enumerate(self.combiner.depths())]
+        up["write_combiner_queue_depth_total"] = [({}, sum(self.combiner.depths()))]
+        up |= self.flusher.samples()
         up["high_watermark"] = [({"topic": r.topic, "partition": r.partition}, r.high) for r in high]
         return M.exposition(up)
 

@@ -152,6 +152,10 @@ class Flusher:
     clean_at: float | None = None
     writers: int = 4
     segments: int = 0
+    snapshots: int = 0
+    flushed: int = 0
+    flushed_bytes: int = 0
+    cleaned: int = 0
     last_error: Exception | None = None
 
     def table(self, topic: str) -> LakeTable:
@@ -189,6 +193,7 @@ class Flusher:
             self.pending.setdefault(topic, []).append(job.result())
             self.since.setdefault(topic, self.clock())
             self.staged_to.update({(r.topic, r.partition): r.to for r in todo if r.topic == topic})
+            self.flushed += sum(r.n for r in todo if r.topic == topic)
         for topic in list(self.pending):
             if only in (None, topic) and self.due(topic):
                 self.commit(topic)
@@ -221,7 +226,8 @@ class Flusher:
             raise RuntimeError(f"pending files of {topic} without a mark")
         self.table(topic).append(self.pending[topic], {f"{PREFIX}high_watermark.{p}": v for _, p, v in marks})
         self.hot.set_marks("flush", marks)
-        self.segments += self.pending_size(topic)[0]
+        files, size = self.pending_size(topic)
+        self.segments, self.snapshots, self.flushed_bytes = self.segments + files, self.snapshots + 1, self.flushed_bytes + size
         del self.pending[topic], self.since[topic]
         self.staged_to = {k: v for k, v in self.staged_to.items() if k[0] != topic}
         self.clean_at = self.clock() + self.policy.retention_s if self.clean_at is None else self.clean_at
@@ -249,7 +255,24 @@ class Flusher:
         if not force and (self.clean_at is None or self.clock() < self.clean_at):
             return 0
         self.clean_at = None
-        return self.hot.clean()
+        n = self.hot.clean()
+        self.cleaned += n
+        return n
+
+    def samples(self) -> dict[str, list[tuple[dict, object]]]:
+        """Samples of the flush, lake, consumer and hot-log metrics; rows staged again after a failure count again."""
+        state, sizes = self.hot.state(), {t: self.pending_size(t) for t in list(self.pending)}
+        one = {"flush_total": self.snapshots, "flush_events_total": self.flushed, "flush_bytes_total": self.flushed_bytes, "cleanup_events_deleted_total": self.cleaned, "parquet_files_written_total": self.segments, "iceberg_snapshots_committed_total": self.snapshots}
+        out: dict[str, list[tuple[dict, object]]] = {name: [({}, n)] for name, n in one.items()}
+        out["pending_snapshot_files"] = [({"topic": t}, n) for t, (n, _) in sorted(sizes.items())]
+        out["pending_snapshot_bytes"] = [({"topic": t}, n) for t, (_, n) in sorted(sizes.items())]
+        out["hot_storage_events"] = [({}, sum(v.get("high", 0) - v.get("cleanup", 0) for v in state["marks"].values()))]
+        commits = [(*json.loads(k), n) for k, n in sorted(state.get("offsets", {}).items())]
+        high = {tuple(json.loads(k)): v.get("high", 0) for k, v in state["marks"].items()}
+        named = [({"group": g, "topic": t, "partition": p}, n, max(0, high.get((t, p), 0) - n)) for g, t, p, n in commits]
+        out["committed_offset"] = [(labels, n) for labels, n, _ in named]
+        out["consumer_lag"] = [(labels, n) for labels, _, n in named]
+        return out
 
 
 def ingest_stream(events: DataFrame, hot: HotLog, checkpoint: str, **trigger):

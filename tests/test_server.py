@@ -2,13 +2,15 @@ import io
 import json
 import threading
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pytest
 
 from eventlake.plans.suite import event_message
 from eventlake.server import App, serve
-from eventlake.service import Gate
+from eventlake.service import Gate, Overloaded
+from eventlake.streaming.combiner import Combiner
 from eventlake.streaming.flush import Flusher, HotLog
 
 
@@ -69,3 +71,51 @@ def test_every_route_is_in_the_document(app):
     status, doc = call(app, "GET", "/openapi.json")
     assert status == 200 and len(doc["paths"]) > 15 and set(doc["paths"]["/tables/{table}"]) == {"get", "post"}
     assert call(app, "GET", "/health/ready")[1]["hot_storage"] == {"status": "ok"}
+
+
+def test_writes_together_are_few_batches_and_number_as_one_by_one(app):
+    app.combiner.window_s = 0.5
+    one = lambda i: call(app, "POST", "/tables/t", {"payload": f"p{i}", "timestamp_ms": 1000 + i, "idempotency_key": f"k{i % 20}"})[1]["offset"]
+    with ThreadPoolExecutor(24) as pool:
+        got = list(pool.map(one, range(24)))
+    assert sorted(set(got)) == list(range(1, 21)) and all(got[i] == got[i + 20] for i in range(4))
+    assert len(app.hot.state()["batches"]) <= 6 and app.hot.rows().count() == 20
+    assert call(app, "POST", "/tables/t", {"payload": "x", "partition": 1 << 40})[0] == 400 and call(app, "POST", "/tables/t", {"payload": "x", "idempotency_key": 5})[0] == 400
+    call(app, "POST", "/consumers/g/commit", {"topic": "t", "offset": 7})
+    text = call(app, "GET", "/metrics")[1].decode()
+    assert "eventlake_hot_storage_events 20" in text and 'consumer_lag{group="g",topic="t",partition="0"} 13' in text and "write_combiner_queue_depth_total 0" in text
+    call(app, "POST", "/tables/t/flush")
+    assert "eventlake_flush_events_total 20" in call(app, "GET", "/metrics")[1].decode()
+
+
+def test_a_bad_request_fails_alone_and_a_full_queue_refuses():
+    begun, go, batches = threading.Event(), threading.Event(), []
+
+    def write(requests):
+        batches.append([e for _, events in requests for e in events])
+        begun.set()
+        go.wait(10)
+        if "bad" in batches[-1]:
+            raise ValueError("bad")
+        return [[f"{topic}/{e}" for e in events] for topic, events in requests]
+
+    combiner = Combiner(write, shards=1, most_rows=3, window_s=0.0, most_queued=4, most_bytes=100)
+    with ThreadPoolExecutor(8) as pool:
+        jobs = [pool.submit(combiner.submit, "t", ["a"], 10)]
+        begun.wait(10)
+        for events in (["b", "c"], ["bad"], ["d"] * 5):
+            n = combiner.depths()[0]
+            jobs.append(pool.submit(combiner.submit, "t", events, 10))
+            while combiner.depths()[0] == n:
+                pass
+        with pytest.raises(Overloaded):
+            combiner.submit("t", ["e"], 80)
+        jobs.append(pool.submit(combiner.submit, "u", ["e"], 10))
+        while combiner.depths()[0] == 3:
+            pass
+        with pytest.raises(Overloaded):
+            combiner.submit("t", ["e"], 1)
+        go.set()
+        assert isinstance(jobs[2].exception(10), ValueError)
+        assert [jobs[i].result(10) for i in (0, 1, 3, 4)] == [["t/a"], ["t/b", "t/c"], ["t/d"] * 5, ["u/e"]]
+    assert batches == [["a"], ["b", "c", "bad"], ["b", "c"], ["bad"], ["d"] * 5, ["e"]] and combiner.depths() == [0]
