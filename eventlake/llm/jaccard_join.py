@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, WordHasher, mix, raw_text
-from .shared import NO_ID, bucketed, discard, fresh, table, text_slices, written
+from .shared import NO_ID, bucketed, discard, fresh, shrinking, table, text_slices, written
 from .sketch import RaritySketch, build
 
 #: Longs of a set's bitmap.
@@ -147,7 +147,7 @@ def _links(spark: SparkSession, pairs: DataFrame, classes: DataFrame) -> DataFra
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *[F.col(c).alias(s + c) for c in _BITS])
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_reach(F.col("na"), F.col("nb"), *([F.col(s + c) for c in _BITS] for s in "ab"))).select("a", "b")
     text = lambda s, t: classes.select(F.col("node").alias(s), F.col("tokens").alias(t))
-    return written(spark, near.join(text("a", "tx"), "a").join(text("b", "ty"), "b").select("a", "b", "tx", "ty").mapInArrow(_verified, "a binary, b binary"), "links")
+    return written(spark, near.join(text("a", "tx"), "a").join(text("b", "ty"), "b").select("a", "b", "tx", "ty").mapInArrow(shrinking(_verified), "a binary, b binary"), "links")
 
 
 def _long_enough(a: str, b: str):
@@ -206,19 +206,19 @@ def _groups(spark: SparkSession, rows: DataFrame, size: int = 5, sketch_bits: in
                 yield h
 
     sent = build(rows.select("text"), keys, lambda: RaritySketch(sketch_bits), 4 * spark.sparkContext.defaultParallelism)  # 2^sketch_bits / 2 + 2^24 bytes at any size of the input
-    sets = written(spark, rows.mapInArrow(_sets(size, sent), "doc_id long, mark long, n int, node binary, alone int, tokens binary, " + ", ".join(f"{b} long" for b in _BITS)), "sets")
+    sets = written(spark, rows.mapInArrow(shrinking(_sets(size, sent)), "doc_id long, mark long, n int, node binary, alone int, tokens binary, " + ", ".join(f"{b} long" for b in _BITS)), "sets")
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "alone", "tokens", *_BITS)])
     classes = bucketed(spark, classes, "node", "classes")
     names = written(spark, sets.select("doc_id", "mark", "n", "node"), "names")
     discard(spark, sets)
 
-    posted = written(spark, classes.select("node", "n", "alone", "tokens").mapInArrow(_postings(("alone",)), "token long, node binary, n int, alone int, pos int"), "postings")
+    posted = written(spark, classes.select("node", "n", "alone", "tokens").mapInArrow(shrinking(_postings(("alone",))), "token long, node binary, n int, alone int, pos int"), "postings")
     star = _star_pairs(spark, posted)
     discard(spark, posted)
     links = _links(spark, star, classes)
     label = components(spark, links, rounds=2)  # needs to join only what is connected, not all that is
     of = classes.select("node", "n", "alone", "tokens").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    posted = written(spark, of.mapInArrow(_postings(("component",)), "token long, node binary, n int, component binary, pos int"), "postings")
+    posted = written(spark, of.mapInArrow(shrinking(_postings(("component",))), "token long, node binary, n int, component binary, pos int"), "postings")
     mixed = posted.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("token")
     mixed = written(spark, mixed, "mixed")
     open_ = written(spark, posted.join(mixed, "token", "left_semi"), "open")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, release, send, small_batches, table
+from .shared import held_out, release, send, shrinking, small_batches, table
 
 BITS = 16
 SIZE = 1 << BITS
@@ -148,7 +148,7 @@ def train(docs: DataFrame, sample_rows: int = 2000, epochs: int = 4, **penalties
     known = docs.where("lang is not null and text is not null").select("text", "lang", key.alias("key"))
     spark = docs.sparkSession
     with small_batches(spark):
-        counts = known.mapInArrow(_frequency_batches, "bucket int, lang string, n long, least long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect()
+        counts = known.mapInArrow(shrinking(_frequency_batches), "bucket int, lang string, n long, least long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect()
     sizes = {r.lang: r for r in counts if r.bucket is None}
     langs = sorted(sizes)
     if not langs:
@@ -161,7 +161,7 @@ def train(docs: DataFrame, sample_rows: int = 2000, epochs: int = 4, **penalties
     below = spark.createDataFrame([(k, max(int((1 << 40) * min(1.0, sample_rows / r.n)), r.least + 1)) for k, r in sizes.items()], "lang string, below long")
     picked = known.join(F.broadcast(below), "lang").where("key < below").select("key", "lang", "text")  # one small row for each language
     with small_batches(spark):
-        rows = picked.mapInArrow(_sample_batches, "key long, lang string, at array<int>, n array<int>").toArrow()
+        rows = picked.mapInArrow(shrinking(_sample_batches), "key long, lang string, at array<int>, n array<int>").toArrow()
     keys, named = rows["key"].to_pylist(), rows["lang"].to_pylist()
     order, rank, taken = [], [], {}
     for i in sorted(range(len(keys)), key=lambda i: (named[i], keys[i])):
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_" + max(["read", *keep], key=len)))  # a name that is no other column's
     names = [*keep, "lang_pred", "score"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(batches, f"{kinds}, lang_pred string, score double")
+    return source.mapInArrow(shrinking(batches), f"{kinds}, lang_pred string, score double")
 
 
 def accepted_rows(docs: DataFrame, model: Model, least_score: float = 0.5, langs: tuple[str, ...] | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANK_CHARS, BLANKS, table, written
+from .shared import BLANK_CHARS, BLANKS, shrinking, table, written
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 _PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_tokens", pa.int32()), ("bin_id", pa.int64()), ("capacity", pa.int32()), ("place", pa.int32())])
@@ -114,7 +114,7 @@ def pack(spark: SparkSession, docs: DataFrame, lengths: tuple[int, ...] = LENGTH
         F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int").alias("shard"), "doc_id", (F.col("n") / most).cast("int").alias("piece"), (F.col("n") % most).cast("int").alias("n_tokens"), "rid",
     )
     rest = rest.repartition(n_shards, "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "rid").drop("rid")
-    return rest.mapInArrow(_pack(lengths, cost), "doc_id long, piece int, n_tokens int, bin_id long, capacity int, place int").unionByName(whole)
+    return rest.mapInArrow(shrinking(_pack(lengths, cost)), "doc_id long, piece int, n_tokens int, bin_id long, capacity int, place int").unionByName(whole)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, longest: int = max(LENGTHS), joint: str = " ") -> DataFrame:
