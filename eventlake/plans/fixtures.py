@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import date_text
 from ..operators.lake import LakeTable
 from ..operators.log import write_batch
 from ..operators.read import with_partition_columns
@@ -35,7 +36,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     return e.select(
         "event_id", F.col("event_type").alias("topic"), F.pmod("user_id", F.lit(4)).cast("int").alias("partition"), F.encode("props", "UTF-8").alias("payload"),
-        F.floor(micros / 1000).cast("long").alias("timestamp_ms"), F.concat_ws(":", F.col("user_id").cast("string"), ts.cast("date").cast("string")).alias("idempotency_key"), "value",
+        F.floor(micros / 1000).cast("long").alias("timestamp_ms"), F.concat_ws(":", F.col("user_id").cast("string"), date_text(ts.cast("date"))).alias("idempotency_key"), "value",
     )
 
 
