@@ -25,7 +25,7 @@ def date_text(date: Column) -> Column:
     """YYYY-MM-DD as SQL shows it: years past 9999 without a sign, those before 1 counted back from 1 BC and marked as such."""
     text, year = date.cast("string"), F.year(date)
     far = F.concat(F.format_string("%04d", F.when(year < 1, 1 - year).otherwise(year)), F.right(text, F.lit(6)), F.when(year < 1, " (BC)").otherwise(""))
-    return F.when(year.between(1, 9999), text).otherwise(far)
+    return F.when(date.between(F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")), text).otherwise(far)
 
 
 def hex_key(n: Column) -> Column:

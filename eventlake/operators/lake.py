@@ -35,6 +35,8 @@ _MANIFEST = (
     "path string, status int, file_size bigint, n bigint, sequence_min bigint, sequence_max bigint, partition int, timestamp_ms_min bigint, timestamp_ms_max bigint, "
     "event_date_min date, event_date_max date, event_hour_min int, event_hour_max int, ord bigint"
 )
+#: What a manifest's Parquet files hold: given, so that no job has to find it.
+_STORED = _MANIFEST.removesuffix(", ord bigint")
 _MB = 1 << 20
 # The table format's names of column types.
 _TYPES = {"bigint": "long", "int": "int", "string": "string", "binary": "binary", "date": "date", "double": "double", "boolean": "boolean"}
@@ -91,7 +93,7 @@ class LakeTable:
         path = f"{self.base}/metadata/manifest-{uuid.uuid4().hex}.parquet"
         ordered = [c.split()[0] for c in _MANIFEST.split(", ")][:-1]
         stats.withColumn("status", F.lit(ADDED)).select(*ordered).write.parquet(path)
-        out = self.spark.read.parquet(path)
+        out = self.spark.read.schema(_STORED).parquet(path)
         out.manifest_path = path
         out.avro = self._avro(out.withColumns({"snapshot_id": F.lit(None).cast("long"), "number": F.lit(None).cast("long")}), self.metadata())
         return out
@@ -157,9 +159,11 @@ class LakeTable:
         entries = staged[0]
         for more in staged[1:]:
             entries = entries.unionByName(more)
-        change, marks = self._NONE | self._sizes(entries, "added"), {}
-        for p, high in entries.groupBy("partition").agg(F.max("sequence_max")).collect():  # a row for each partition of the topic
+        change, marks = dict(self._NONE), {}
+        for p, high, *sizes in entries.groupBy("partition").agg(F.max("sequence_max"), F.count("*"), F.sum("n"), F.sum("file_size")).collect():  # a row for each partition of the topic
             marks[f"{PREFIX}watermark.{p}"] = high
+            for k, v in zip(("added-data-files", "added-records", "added-files-size"), sizes, strict=True):
+                change[k] += v
         for i in range(tries):
             try:
                 return self._commit(self.metadata(), "append", [m.manifest_path for m in staged], change, marks | (extra or {}), [r for m in staged for r in m.avro])
@@ -172,10 +176,11 @@ class LakeTable:
         doc = self.metadata()
         if doc["current-snapshot-id"] != base_snapshot:
             raise Conflict(f"snapshot {base_snapshot} isn't current")
-        if not deleted.join(self.active(), "path", "left_anti").isEmpty():
-            raise Conflict("a file to delete isn't active")
         path = f"{self.base}/metadata/manifest-{uuid.uuid4().hex}.parquet"
         deleted.withColumn("status", F.lit(DELETED)).select(*[c for c in deleted.columns if c != "ord"]).write.parquet(path)
+        deleted = self.spark.read.schema(_STORED).parquet(path)  # chosen once, not again for each use
+        if not deleted.join(self.active(), "path", "left_anti").isEmpty():
+            raise Conflict("a file to delete isn't active")
         change = self._NONE | self._sizes(deleted, "deleted")
         for m in staged:
             for k, v in self._sizes(m, "added").items():
@@ -217,7 +222,7 @@ class LakeTable:
             return self.spark.createDataFrame([], _MANIFEST)
         order = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p.rsplit("/", 1)[1]), F.lit(i))])
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        return self.spark.read.parquet(*paths).withColumn("ord", order[name].cast("long"))
+        return self.spark.read.schema(_STORED).parquet(*paths).withColumn("ord", order[name].cast("long"))
 
     def active(self, snapshot_id: int | None = None, as_of_ms: int | None = None) -> DataFrame:
         """The files of a snapshot: of each path the last entry, unless that deletes it."""
@@ -269,29 +274,23 @@ class LakeTable:
         none = {"files_in": 0, "files_out": 0, "rows": 0, "bytes_saved": 0}
         if base is None:
             return none
-        picked = self.candidates(policy).select("path")
-        paths = [r.path for r in picked.collect()]  # max_files of each directory
-        if not paths:
+        chosen = self.candidates(policy).drop("place")
+        picked = chosen.select("path", "n", "file_size").collect()  # max_files of each directory
+        if not picked:
             return none
-        chosen = self.active().join(picked, "path", "left_semi")
-        before = self._sizes(chosen, "x")
+        records, size = sum(r.n for r in picked), sum(r.file_size for r in picked)
         write = f"{self.base}/data/write={uuid.uuid4().hex}"
-        rows = self.spark.read.schema(self.schema).option("basePath", f"{self.base}/data").parquet(*paths).select(*self.schema.fieldNames())
-        most_rows = max(1, policy.target_bytes * before["x-records"] // max(1, before["x-files-size"]))
-        conf, usual = "spark.sql.adaptive.advisoryPartitionSizeInBytes", self.spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-        self.spark.conf.set(conf, str(policy.target_bytes))
-        try:
-            rows.hint("rebalance", *self.by).sortWithinPartitions(*self.by, "timestamp_ms", "sequence").write.option("compression", "zstd").option("maxRecordsPerFile", most_rows).partitionBy(*self.by).parquet(write)
-        finally:
-            self.spark.conf.set(conf, usual)
+        rows = self.spark.read.schema(self.schema).option("basePath", f"{self.base}/data").parquet(*[r.path for r in picked]).select(*self.schema.fieldNames())
+        most_rows = max(1, policy.target_bytes * records // max(1, size))
+        # A directory's rows meet in one task, max_files of min_bytes at most, which cuts them at the target; no setting of the session changes, since others plan with it meanwhile.
+        rows.repartition(*self.by).sortWithinPartitions(*self.by, "timestamp_ms", "sequence").write.option("compression", "zstd").option("maxRecordsPerFile", most_rows).partitionBy(*self.by).parquet(write)
         made = self._stats(write)
         try:
-            self.replace(base["snapshot-id"], chosen, [made])
+            change = self.replace(base["snapshot-id"], chosen, [made])["summary"]
         except Conflict:
             self.files.delete(write)
             raise
-        after = self._sizes(made, "x")
-        return {"files_in": before["x-data-files"], "files_out": after["x-data-files"], "rows": after["x-records"], "bytes_saved": before["x-files-size"] - after["x-files-size"]}
+        return {"files_in": len(picked), "files_out": int(change["added-data-files"]), "rows": int(change["added-records"]), "bytes_saved": size - int(change["added-files-size"])}
 
 
 def candidates(files: DataFrame, policy: CompactionPolicy = CompactionPolicy()) -> DataFrame:

@@ -19,10 +19,12 @@ def unused(rows: DataFrame, name: str) -> str:
 def first_of_key(rows: DataFrame, order: str) -> DataFrame:
     """Of rows with the same (topic, partition, idempotency_key) the first; rows without a key all.
 
-    A key's first row is found by partial minima, so a key that many rows share costs one row for each task.
+    Spark limits the ranks before the shuffle too, so a key that many rows share costs one row for each task. The key comes
+    first, since sorts compare by a prefix of their first column.
     """
-    first = rows.where("idempotency_key is not null").groupBy(*PART, "idempotency_key").agg(F.min(order).alias(order))
-    keyed = rows.where("idempotency_key is not null").join(first, [*PART, "idempotency_key", order], "left_semi")
+    place = unused(rows, "place")
+    by = Window.partitionBy("idempotency_key", *PART).orderBy(F.col(order).asc_nulls_last())
+    keyed = rows.where("idempotency_key is not null").withColumn(place, F.rank().over(by)).where(F.col(place) == 1).drop(place)
     return keyed.unionByName(rows.where("idempotency_key is null"))
 
 

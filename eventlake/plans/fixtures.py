@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import date_text
 from ..operators.lake import LakeTable
-from ..operators.log import write_batch
+from ..operators.log import first_of_key, with_sequence, write_batch
 from ..operators.read import with_partition_columns
 from ..sources.files import scratch_dir
 
@@ -45,6 +45,11 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_partition_columns(write_batch(requests(spark, sf_dir), "event_id"))
 
 
+def _kept(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    rows.write.partitionBy(*by).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
 _LAKES: dict[tuple[str, str], str] = {}
 #: Rows of the first snapshot of each lake: those before this time, the middle of the events' month.
 CUT_MS = 1_705_276_800_000
@@ -56,9 +61,9 @@ def lake_root(spark: SparkSession, sf_dir: str) -> str:
     if key not in _LAKES:
         base = scratch_dir(spark)
         root = f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}"
-        rows = log(spark, sf_dir)
-        rows.write.parquet(f"{root}/.log")
-        rows = spark.read.parquet(f"{root}/.log")
+        # Numbering reads its rows twice, so the choice of each key's first is kept; by topic, so a table's writes read no other's rows.
+        kept = _kept(first_of_key(requests(spark, sf_dir), "event_id"), f"{root}/.first")
+        rows = _kept(with_partition_columns(with_sequence(kept, "event_id")), f"{root}/.log", "topic")
 
         def one(topic: str) -> None:
             clock = iter((CUT_MS / 1000, CUT_MS / 1000 + 86_400))

@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -281,3 +282,20 @@ def test_avro_files_open_with_the_public_library(spark, tmp_path, n_empty):
     while manifest.hasNext():
         paths.add(manifest.next().get("data_file").get("file_path").toString())
     assert paths == {r.path for r in table.active().collect()}
+
+
+def test_compactions_beside_each_other_leave_the_session_alone(spark, tmp_path, monkeypatch):
+    set_, changed = type(spark.conf).set, []
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, key, value: (changed.append(key), set_(self, key, value)))
+    tables = [LakeTable(spark, str(tmp_path), f"t{i}", granularity="day") for i in range(2)]
+    for t in tables:
+        rows = spark.range(90).selectExpr("id + 1 AS sequence", f"'{t.topic}' AS topic", "int(id % 2) AS partition", "binary('x') AS payload", "id * 900000 AS timestamp_ms", "string(id) AS idempotency_key")
+        t.append([t.stage(rows.where(F.col("sequence") % 3 == i)) for i in range(3)])
+    before = {t.topic: (t.read().count(), t.active().groupBy("event_date_min", "partition").count().count()) for t in tables}
+    changed.clear()
+    with ThreadPoolExecutor(2) as pool:
+        done = dict(zip(before, pool.map(LakeTable.compact, tables), strict=True))
+    assert not changed
+    for t in tables:  # one file for each directory, the same rows
+        assert (t.read().count(), t.active().count()) == before[t.topic] == (done[t.topic]["rows"], done[t.topic]["files_out"])
+        assert t.snapshot()["summary"]["total-records"] == str(before[t.topic][0])

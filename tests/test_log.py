@@ -142,3 +142,20 @@ def test_exact_ranks(spark):
     got = {r.g: (r.p0, r.p50, r.p99, r.p100) for r in C.nearest_ranks(df, ["g"], "x", {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}).collect()}
     rank = lambda vs, p: sorted(vs)[min(int(len(vs) * p), len(vs) - 1)]
     assert got == {k: (None,) * 4 if vs == [None] else tuple(rank(vs, p) for p in (0.0, 0.5, 0.99, 1.0)) for k, vs in values.items()}
+
+
+def test_first_of_key_is_limited_before_one_shuffle(spark):
+    import contextlib
+    import io
+
+    rows = [(i, "click", i % 2, None if i % 5 == 4 else "hot" if i % 3 else f"k{i % 7}") for i in range(200)]
+    df = spark.createDataFrame(rows, "arrival long, topic string, partition int, idempotency_key string").repartition(4)
+    first = {}
+    for i, topic, partition, key in rows:
+        first.setdefault((topic, partition, key), i)
+    kept = L.first_of_key(df, "arrival")
+    assert sorted(r.arrival for r in kept.collect()) == sorted(i for i, *k in rows if k[2] is None or first[tuple(k)] == i)
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        L.first_of_key(df.where("idempotency_key is not null"), "arrival").explain()
+    assert "Join" not in shown.getvalue() and "Partial" in shown.getvalue().split("WindowGroupLimit", 1)[1]
